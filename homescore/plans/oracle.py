@@ -352,7 +352,7 @@ STEPS: dict[str, str] = {
     "homes_c": _home("devices_c"),
     "ev": "select event_id, user_id, event_type, ts::date as date from events",
     "device_days": """
-        select ts::date as date, 'H' || user_id as serial_num, 'D' || (user_id % 50) as mdn,
+        select ts::date as date, 'H' || user_id as serial_num, 'D' || user_id as mdn,
                'C' || user_id as cust_id, 'M' || event_id as station_mac, 5 + value * 6 as avg_phyrate,
                least(value / 2, 100.0::double) as poor_phyrate, k as poor_rssi,
                100 - least(value, 100.0::double) as device_score, k / 128 as weights,

@@ -67,7 +67,7 @@ def _identity(spark: SparkSession, sf: str, **options) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf: str, complete: bool) -> DataFrame:
-    return telemetry_ops.telemetry(A.station_history(spark, sf), complete=complete)
+    return telemetry_ops.telemetry(A.station_history(spark, sf, A.SCORED_FIELDS), complete=complete)
 
 
 def _kpis(spark: SparkSession, sf: str, **options) -> DataFrame:
