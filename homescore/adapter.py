@@ -87,9 +87,9 @@ def station_history(spark: SparkSession, sf_dir: str, fields: list[str] | None =
     )
 
     def text(value: Column) -> Column:
-        return value.cast("bigint").cast("string")
+        return value.cast("string")
 
-    quantity = F.col("l_quantity")
+    quantity = F.col("l_quantity").cast("int")
     leaves = [
         r["station_mac"].alias("station_mac"),
         r["parent_id"].alias("parent_id"),
@@ -97,14 +97,14 @@ def station_history(spark: SparkSession, sf_dir: str, fields: list[str] | None =
         tx.alias("tx_link_rate"),
         F.concat(text(r["rate"] + quantity), F.lit("Mbps")).alias("link_rate"),
         signal.alias("signal_strength"),
-        text(quantity + 10).alias("snr"),
-        text(discount * 100).alias("airtime_util"),
-        text(F.lit(20) * line).alias("bw"),
-        text(F.lit(30) + line).alias("channel"),
-        text(F.col("l_partkey") + 5).alias("tx_packets"),
-        text(F.col("l_partkey") + 7).alias("rx_packets"),
-        text(quantity * 3).alias("diff_tx_packets"),
-        text(quantity * 2).alias("diff_rx_packets"),
+        text(quantity).alias("snr"),
+        text((discount * 100).cast("int")).alias("airtime_util"),
+        text(line).alias("bw"),
+        text(line).alias("channel"),
+        text(F.col("l_partkey")).alias("tx_packets"),
+        text(F.col("l_orderkey")).alias("rx_packets"),
+        text(quantity).alias("diff_tx_packets"),
+        text(line).alias("diff_rx_packets"),
         text(r["sent"]).alias("diff_bs"),
         text(r["received"]).alias("diff_br"),
         text(F.lit(1)).alias("connect_state"),

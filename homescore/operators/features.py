@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from homescore.config import FEATURE_METRICS, WINDOW_FEATURES
+from homescore.operators.kpi import grouping_keys, with_key_parts
 from homescore.operators.reshape import round_columns
 
 
@@ -18,7 +19,9 @@ def device_features(readings: DataFrame, metrics: Sequence[str] = FEATURE_METRIC
     for name in metrics:
         figures.append(F.round(F.avg(name), 2).alias(f"{name}_avg"))
         figures.append(F.round(F.stddev(name), 2).alias(f"{name}_stddev"))
-    return readings.groupBy("rowkey", "serial_num", "station_mac").agg(*figures)
+    keys = ("rowkey", "serial_num", "station_mac")
+    devices = with_key_parts(readings.groupBy(*grouping_keys(keys)).agg(*figures), keys)
+    return devices.select(*keys, *[c for c in devices.columns if c not in keys])
 
 
 def lowest_n_mean(

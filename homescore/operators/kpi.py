@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homescore.config import DEVICE_KEYS, KpiRules
+from homescore.functions import parsing
 from homescore.functions.numeric import disc_percentiles, percent
 
 RSSI = "sdcd_signal_strength"
@@ -26,6 +27,19 @@ def valid_rate(rules: KpiRules) -> Column:
     return (rate > rules.rate_above) & (rate < rules.rate_below) & ~rate.isin(*rules.rate_excluded)
 
 
+# Both are parts of the row key, so grouping by the row key already separates them.
+KEY_PARTS = {"serial_num": parsing.serial_number, "rk_row_sn": parsing.group_key}
+
+
+def grouping_keys(keys: Sequence[str]) -> list[str]:
+    return [k for k in keys if k not in KEY_PARTS]
+
+
+def with_key_parts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the parts of the row key named in `keys`: once per group instead of once per reading."""
+    return df.withColumns({k: KEY_PARTS[k](F.col("rowkey")) for k in keys if k in KEY_PARTS})
+
+
 def device_kpis(
     telemetry: DataFrame,
     rules: KpiRules = KpiRules(),
@@ -55,7 +69,7 @@ def device_kpis(
         optional.append(F.collect_set(F.struct("parent_id")).alias("parents"))
 
     per_device = (
-        telemetry.groupBy(*keys)
+        telemetry.groupBy(*grouping_keys(keys))
         .agg(
             F.count(RSSI).alias("n_rssi"),
             F.count_if(weak_signal(rules)).alias("n_weak"),
@@ -71,7 +85,7 @@ def device_kpis(
     low, p10, mid, p90 = (F.col("pct")[i] for i in range(4))
     bound = F.least(p10 - rules.spread_factor * (p90 - p10), low)
     kept = F.col("max_rssi") > bound if rules.strict else F.col("max_rssi") >= bound
-    named = per_device.withColumns(
+    named = with_key_parts(per_device, keys).withColumns(
         {
             "poor_rssi": percent(F.col("n_weak"), F.col("n_rssi")),
             "poor_phyrate": percent(F.col("n_slow"), F.col("n_phy")),
@@ -118,15 +132,16 @@ def stationarity_rows(
     """
     points = F.array(*[F.lit(p) for p in rules.percentiles])
     low, p10, mid, p90 = (F.col("pct")[i] for i in range(4))
-    readings = telemetry.dropna(subset=[*keys, RSSI])
+    grouped = grouping_keys(keys)
+    readings = telemetry.dropna(subset=[*grouped, RSSI])
     bounds = (
-        readings.groupBy(*keys)
+        readings.groupBy(*grouped)
         .agg(F.percentile(RSSI, points).alias("pct"))
         .select(
-            *keys,
+            *grouped,
             F.least(p10 - rules.spread_factor * (p90 - p10), low).alias("bound"),
             F.when(F.abs(p90 - mid) <= rules.stationary_spread, 1).otherwise(0).alias("stationarity"),
         )
     )
     keep = F.col(RSSI) > F.col("bound") if rules.strict else F.col(RSSI) >= F.col("bound")
-    return readings.join(bounds, list(keys)).where(keep).drop("bound")
+    return readings.join(bounds, grouped).where(keep).drop("bound")

@@ -74,7 +74,8 @@ def device_scores_a(
     per_home: bool = False,
 ) -> DataFrame:
     """Variant A: scores per device and parent, for homes with a known subscriber."""
-    kpis = W.stage_kpis(device_kpis(telemetry, kpi_rules, DEVICE_PARENT_KEYS))
+    used = ("n_rssi", "n_phy", "avg_phyrate", "poor_phyrate", "poor_rssi")
+    kpis = W.stage_kpis(device_kpis(telemetry, kpi_rules, DEVICE_PARENT_KEYS).select(*DEVICE_PARENT_KEYS, *used))
     weighted = (
         W.weights_a(kpis, rules, per_home)
         .dropna(subset=list(DEVICE_PARENT_KEYS))

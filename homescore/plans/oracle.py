@@ -256,12 +256,12 @@ STEPS: dict[str, str] = {
                     when l_discount = 0.03 then 'autoMbps' else rate || 'Mbps' end as {ROOT}tx_link_rate,
                trunc(rate + l_quantity)::bigint || 'Mbps' as {ROOT}link_rate,
                case when l_discount = 0.04 and l_tax = 0.04 then 'n/a' else rssi::varchar end as {ROOT}signal_strength,
-               trunc(l_quantity + 10)::bigint::varchar as {ROOT}snr,
+               l_quantity::bigint::varchar as {ROOT}snr,
                trunc(l_discount * 100)::bigint::varchar as {ROOT}airtime_util,
-               (20 * l_linenumber)::varchar as {ROOT}bw, (30 + l_linenumber)::varchar as {ROOT}channel,
-               (l_partkey + 5)::varchar as {ROOT}tx_packets, (l_partkey + 7)::varchar as {ROOT}rx_packets,
-               trunc(l_quantity * 3)::bigint::varchar as {ROOT}diff_tx_packets,
-               trunc(l_quantity * 2)::bigint::varchar as {ROOT}diff_rx_packets,
+               l_linenumber::varchar as {ROOT}bw, l_linenumber::varchar as {ROOT}channel,
+               l_partkey::varchar as {ROOT}tx_packets, l_orderkey::varchar as {ROOT}rx_packets,
+               l_quantity::bigint::varchar as {ROOT}diff_tx_packets,
+               l_linenumber::varchar as {ROOT}diff_rx_packets,
                sent::varchar as {ROOT}diff_bs, received::varchar as {ROOT}diff_br, '1' as {ROOT}connect_state
         from {{lines}}""",
     "parsed": f"""

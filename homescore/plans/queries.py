@@ -216,7 +216,7 @@ def _weights(df: DataFrame) -> DataFrame:
 
 
 def _staged_kpis(spark: SparkSession, sf: str) -> DataFrame:
-    return W.stage_kpis(_kpis(spark, sf))
+    return W.stage_kpis(_kpis(spark, sf).drop("parents"))
 
 
 def weights_a(spark, sf):

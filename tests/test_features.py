@@ -70,5 +70,5 @@ def test_population_covers_the_days_before(spark):
 
 
 def test_single_reading_has_no_deviation(spark):
-    df = spark.createDataFrame([("k", "s", "m", 5)], "rowkey string, serial_num string, station_mac string, snr int")
-    assert rows(features.device_features(df, ["snr"])) == [("k", "s", "m", 5.0, None)]
+    df = spark.createDataFrame([("AAAA-s-202401010000", "s", "m", 5)], "rowkey string, serial_num string, station_mac string, snr int")
+    assert rows(features.device_features(df, ["snr"])) == [("AAAA-s-202401010000", "s", "m", 5.0, None)]

@@ -14,7 +14,7 @@ SCHEMA = (
 
 
 def reading(home, mac, rssi, rate=100, band="5G", parent="P", sent=10, received=10):
-    return (f"k-{home}", f"r-{home}", home, mac, parent, rssi, rate, band, sent, received)
+    return (f"AAAA-{home}-202401010000", f"AAAA-{home}", home, mac, parent, rssi, rate, band, sent, received)
 
 
 def frame(spark, data):

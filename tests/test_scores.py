@@ -38,7 +38,7 @@ def homes(spark):
     telemetry = frame(spark, data)
     dg = groups(
         spark,
-        [("r-h1", "R1", "router", None, "1"), ("r-h1", "E1", "extender", "R1", "2"), ("r-h2", "R2", "router", None, "1")],
+        [("AAAA-h1", "R1", "router", None, "1"), ("AAAA-h1", "E1", "extender", "R1", "2"), ("AAAA-h2", "R2", "router", None, "1")],
     )
     ids = identity(spark, [("h1", "m1", "c1"), ("h2", "m2", "c2"), ("h2", "m3", "c3")])
     return telemetry, dg, ids
