@@ -98,7 +98,7 @@ def station_history(spark: SparkSession, sf_dir: str, fields: list[str] | None =
         F.concat(text(r["rate"] + quantity), F.lit("Mbps")).alias("link_rate"),
         signal.alias("signal_strength"),
         text(quantity).alias("snr"),
-        text((discount * 100).cast("int")).alias("airtime_util"),
+        text(quantity).alias("airtime_util"),
         text(line).alias("bw"),
         text(line).alias("channel"),
         text(F.col("l_partkey")).alias("tx_packets"),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homescore.config import WINDOW_FEATURES
-from homescore.operators.features import device_window, home_window
+from homescore.operators.features import device_window, home_window, lowest_n_mean, window_aggregates
 from homescore.operators.reshape import round_columns, stamp_date
 from homescore.sources.days import as_day, in_days
 
@@ -28,23 +28,47 @@ def before_after_set(
 ) -> DataFrame:
     """Features before, target scores after, for homes seen in both windows.
 
-    `homes=None` leaves out the home scores, `lowest_n=None` the lowest-n scores.
+    Both windows are aggregated in the same pass over the device rows. `homes=None` leaves out the
+    home scores, `lowest_n=None` the lowest-n scores.
     """
-    earlier = devices.where(in_days(before, count))
-    later = devices.where(in_days(after, count))
-    inputs = device_window(
-        earlier, features, (score,), lowest_n, total_volume, score, cohort
-    ).withColumnsRenamed({score: "avg_device_score", "lowest_n_scores": "before_lowest_n_scores"})
-    targets = device_window(later, [score], (score,), lowest_n, False, score, cohort).drop("count")
-    targets = targets.withColumnsRenamed(
-        {score: "target_avg_device_score", "lowest_n_scores": "target_lowest_n_scores"}
+    earlier, later = in_days(before, count), in_days(after, count)
+    seen = devices.where(earlier | later)
+    if cohort is not None:
+        seen = seen.join(cohort.select("serial_num"), "serial_num", "left_semi")
+    medians = [name for name in features if name != score]
+    rows = (
+        seen.groupBy("serial_num")
+        .agg(
+            *window_aggregates(features, medians, total_volume, when=earlier),
+            F.avg(F.when(later, F.col(score))).alias("target_avg_device_score"),
+            F.count_if(later).alias("__later"),
+        )
+        .where("count > 0 AND __later > 0")
+        .drop("__later")
+        .withColumnRenamed(score, "avg_device_score")
     )
-    rows = inputs.join(targets, "serial_num")
+    if lowest_n is not None:
+        rows = rows.join(_lowest_phases(seen, earlier, later, score, lowest_n), "serial_num", "left")
+    rows = round_columns(rows, 4)
     if homes is not None:
         rows = rows.join(_home_phases(homes, before, after, count, cohort), "serial_num")
     return rows
 
 
+def _lowest_phases(seen: DataFrame, earlier: Column, later: Column, score: str, n: int) -> DataFrame:
+    """Lowest-n mean of both windows; a day in both counts in both."""
+    phases = F.array_compact(F.array(F.when(earlier, "before"), F.when(later, "after")))
+    each = seen.select("serial_num", score, F.explode(phases).alias("phase"))
+    lowest = lowest_n_mean(each, ["serial_num", "phase"], score, n)
+
+    def of(phase: str) -> Column:
+        return F.max(F.when(F.col("phase") == phase, F.col("lowest_n_scores")))
+
+    return lowest.groupBy("serial_num").agg(
+        of("before").alias("before_lowest_n_scores"), of("after").alias("target_lowest_n_scores")
+    )
+
+
 def _home_phases(
     homes: DataFrame, before: date | str, after: date | str, count: int, cohort: DataFrame | None
 ) -> DataFrame:

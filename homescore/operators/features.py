@@ -51,7 +51,6 @@ def window_aggregates(
     total_volume: bool = False,
     accuracy: int = 10000,
     when: Column | None = None,
-    prefix: str = "",
 ) -> list[Column]:
     """Averages, medians and row count of a window; `when` restricts them to one phase."""
 
@@ -59,13 +58,13 @@ def window_aggregates(
         return F.col(name) if when is None else F.when(when, F.col(name))
 
     counted = F.count("*") if when is None else F.count_if(when)
-    figures = [F.avg(pick(name)).alias(prefix + name) for name in features]
+    figures = [F.avg(pick(name)).alias(name) for name in features]
     figures += [
-        F.percentile_approx(pick(name), 0.5, accuracy).alias(f"{prefix}median_{name}") for name in medians
+        F.percentile_approx(pick(name), 0.5, accuracy).alias(f"median_{name}") for name in medians
     ]
     if total_volume:
-        figures.append(F.sum(F.exp(pick("volume"))).alias(f"{prefix}total_volume"))
-    figures.append(counted.alias(f"{prefix}count"))
+        figures.append(F.sum(F.exp(pick("volume"))).alias("total_volume"))
+    figures.append(counted.alias("count"))
     return figures
 
 

@@ -257,7 +257,7 @@ STEPS: dict[str, str] = {
                trunc(rate + l_quantity)::bigint || 'Mbps' as {ROOT}link_rate,
                case when l_discount = 0.04 and l_tax = 0.04 then 'n/a' else rssi::varchar end as {ROOT}signal_strength,
                l_quantity::bigint::varchar as {ROOT}snr,
-               trunc(l_discount * 100)::bigint::varchar as {ROOT}airtime_util,
+               l_quantity::bigint::varchar as {ROOT}airtime_util,
                l_linenumber::varchar as {ROOT}bw, l_linenumber::varchar as {ROOT}channel,
                l_partkey::varchar as {ROOT}tx_packets, l_orderkey::varchar as {ROOT}rx_packets,
                l_quantity::bigint::varchar as {ROOT}diff_tx_packets,

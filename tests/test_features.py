@@ -72,3 +72,11 @@ def test_population_covers_the_days_before(spark):
 def test_single_reading_has_no_deviation(spark):
     df = spark.createDataFrame([("AAAA-s-202401010000", "s", "m", 5)], "rowkey string, serial_num string, station_mac string, snr int")
     assert rows(features.device_features(df, ["snr"])) == [("AAAA-s-202401010000", "s", "m", 5.0, None)]
+
+
+def test_overlapping_windows_count_in_both(spark):
+    devices, homes = days(spark)
+    out = dataset.before_after_set(devices, homes, None, "2024-01-01", "2024-01-03", 5, FEATURES)
+    assert rows(out, "avg_device_score", "target_avg_device_score", "before_lowest_n_scores", "target_lowest_n_scores") == [
+        (52.0, 54.0, 52.0, 54.0)
+    ]
