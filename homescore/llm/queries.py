@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from homescore.llm.packing import op6_vector_packing
+from homescore.llm.quality_rules import op10_llr_quality_rules
 from homescore.llm.token_files import op5_range_coded_ids
 
 QUERIES = {
     "op5_range_coded_ids": op5_range_coded_ids,
     "op6_vector_packing": op6_vector_packing,
+    "op10_llr_quality_rules": op10_llr_quality_rules,
 }
 
 ORACLE: dict[str, str] = {}

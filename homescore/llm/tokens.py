@@ -15,7 +15,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _RUN_OF_SPACES = re.compile(r"\s\s")
 #: Of a text without such runs: a line end, or a word with the space before it.
 _SPACED_PIECE = re.compile(r"\n| ?[^ \n]+| ")
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_500_000
 
 
 class WordIds:
