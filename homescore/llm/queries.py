@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from homescore.llm.language import op7_hyperdimensional_language
 from homescore.llm.packing import op6_vector_packing
+from homescore.llm.quality_model import op8_subword_quality
 from homescore.llm.quality_rules import op10_llr_quality_rules
 from homescore.llm.token_files import op5_range_coded_ids
 
 QUERIES = {
     "op5_range_coded_ids": op5_range_coded_ids,
     "op6_vector_packing": op6_vector_packing,
+    "op7_hyperdimensional_language": op7_hyperdimensional_language,
+    "op8_subword_quality": op8_subword_quality,
     "op10_llr_quality_rules": op10_llr_quality_rules,
 }
 
