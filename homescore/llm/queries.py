@@ -6,9 +6,11 @@ from homescore.llm.language import op7_hyperdimensional_language
 from homescore.llm.packing import op6_vector_packing
 from homescore.llm.quality_model import op8_subword_quality
 from homescore.llm.quality_rules import op10_llr_quality_rules
+from homescore.llm.secrets import op4_token_efficiency_secrets
 from homescore.llm.token_files import op5_range_coded_ids
 
 QUERIES = {
+    "op4_token_efficiency_secrets": op4_token_efficiency_secrets,
     "op5_range_coded_ids": op5_range_coded_ids,
     "op6_vector_packing": op6_vector_packing,
     "op7_hyperdimensional_language": op7_hyperdimensional_language,
