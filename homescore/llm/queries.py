@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from homescore.llm.language import op7_hyperdimensional_language
+from homescore.llm.near_dedup import op2_lsh_forest_near_dedup
 from homescore.llm.packing import op6_vector_packing
 from homescore.llm.quality_model import op8_subword_quality
 from homescore.llm.quality_rules import op10_llr_quality_rules
@@ -12,6 +13,7 @@ from homescore.llm.token_files import op5_range_coded_ids
 
 QUERIES = {
     "op1_relative_lz_dedup": op1_relative_lz_dedup,
+    "op2_lsh_forest_near_dedup": op2_lsh_forest_near_dedup,
     "op4_token_efficiency_secrets": op4_token_efficiency_secrets,
     "op5_range_coded_ids": op5_range_coded_ids,
     "op6_vector_packing": op6_vector_packing,
