@@ -19,8 +19,12 @@ UNIT = 10_000
 
 @dataclass(frozen=True)
 class LlrRules:
-    """Buckets for hashed n-grams, n-gram sizes, smoothing, and the least mean log ratio kept."""
+    """Buckets for hashed n-grams, n-gram sizes, smoothing, and the least mean log ratio kept.
 
+    `trusted_rows` bounds the trusted documents learned from: those with the smallest hash of their id.
+    """
+
+    trusted_rows: int = 20_000
     buckets: int = 8192
     sizes: tuple[int, ...] = (1, 2)
     smoothing: float = 4.0
@@ -83,13 +87,14 @@ def _buckets(words: Column, rules: LlrRules) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, rules: LlrRules = LlrRules(), id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Per bucket the log of its smoothed share in trusted documents over that in all documents, in units.
 
-    `trusted` lists the trusted documents by `doc_id`. Every n-gram of every document counts. Only one
-    row a bucket comes back to the driver.
+    `trusted` lists the trusted documents by `doc_id`. Every n-gram of every document counts in the
+    corpus. Only one row a bucket comes back to the driver.
     """
-    marks = trusted.select(trusted["doc_id"].cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(1))
+    ids = trusted.select(trusted["doc_id"].cast("long").alias("doc_id")).dropna().distinct()
+    marks = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.trusted_rows).withColumn("trusted", F.lit(1))
     grams = (
         id_text(docs, id_col, text_col)
-        .join(marks, "doc_id", "left")
+        .join(F.broadcast(marks), "doc_id", "left")  # at most `trusted_rows` ids, so texts stay where they are
         .select(F.coalesce("trusted", F.lit(0)).alias("trusted"), words_of(F.col("text")).alias("words"))
         .select("trusted", F.explode_outer(_buckets(F.col("words"), rules)).alias("bucket"))
     )  # plain explode would filter on the size of the array first, and so build it twice
