@@ -150,6 +150,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of `docs` whose `text` scores `threshold` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, at = batch.column(batch.schema.get_field_index("text")).to_pylist(), 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (size < _BYTES or end == at):
+                    size += len(texts[end] or "") + 2
+                    end += 1
+                yield batch.slice(at, end - at).filter(pa.array(score_texts(texts[at:end], model) >= threshold))
+                at = end
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_unheld(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
     """Model that has seen no label of a held-out document."""
     return fit(docs, labels.where(~held_out(F.col("doc_id"))), how)

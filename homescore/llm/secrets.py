@@ -119,13 +119,16 @@ _COLUMNS = ["doc_id", *[f"n_{kind}" for kind in KINDS], "base_sha256", "spans"]
 
 
 def redact(docs: DataFrame, ranks_path: str, rules: RandomRules = RandomRules(), mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every span of its `text` replaced by the mark; other columns and clean texts as they were."""
+    """`docs` with every span of its `text` replaced by the mark; other columns and clean texts as they were.
+
+    A column `n_chars`, if there is one, follows a text that changed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(ranks_path, rules)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = []
+            at, counted = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+            texts, changed = [], []
             for text in batch.column(at).to_pylist():
                 parts, done = [], 0
                 for _, start, end in scanner.spans(text):
@@ -133,7 +136,13 @@ def redact(docs: DataFrame, ranks_path: str, rules: RandomRules = RandomRules(),
                         parts += [text[done:start], mark]
                     done = max(done, end)
                 texts.append("".join(parts) + text[done:] if parts else text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                changed.append(bool(parts))
+            arrays = list(batch.columns)
+            arrays[at] = pa.array(texts, arrays[at].type)
+            if counted >= 0:
+                sizes = [len(t) if c else n for t, c, n in zip(texts, changed, arrays[counted].to_pylist())]
+                arrays[counted] = pa.array(sizes, arrays[counted].type)
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
