@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from homescore.llm.embedding_dedup import op9_hnsw_near_vectors
 from homescore.llm.language import op7_hyperdimensional_language
 from homescore.llm.near_dedup import op2_lsh_forest_near_dedup
 from homescore.llm.packing import op6_vector_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_vector_packing": op6_vector_packing,
     "op7_hyperdimensional_language": op7_hyperdimensional_language,
     "op8_subword_quality": op8_subword_quality,
+    "op9_hnsw_near_vectors": op9_hnsw_near_vectors,
     "op10_llr_quality_rules": op10_llr_quality_rules,
 }
 
