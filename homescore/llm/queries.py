@@ -9,12 +9,14 @@ from homescore.llm.packing import op6_vector_packing
 from homescore.llm.quality_model import op8_subword_quality
 from homescore.llm.quality_rules import op10_llr_quality_rules
 from homescore.llm.secrets import op4_token_efficiency_secrets
+from homescore.llm.sentencepieces import op3_wfst_sentencepiece
 from homescore.llm.substring_dedup import op1_relative_lz_dedup
 from homescore.llm.token_files import op5_range_coded_ids
 
 QUERIES = {
     "op1_relative_lz_dedup": op1_relative_lz_dedup,
     "op2_lsh_forest_near_dedup": op2_lsh_forest_near_dedup,
+    "op3_wfst_sentencepiece": op3_wfst_sentencepiece,
     "op4_token_efficiency_secrets": op4_token_efficiency_secrets,
     "op5_range_coded_ids": op5_range_coded_ids,
     "op6_vector_packing": op6_vector_packing,
