@@ -12,7 +12,7 @@ from homescore.llm.common import stage
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one task reduced to those that join something: at most one a node."""
+    """Links of one task reduced to stars: of each node the least it reaches by them."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -27,13 +27,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != b:
                 parent[max(a, b)] = min(a, b)
         if len(parent) > 1_000_000:  # bounded: hand on what is known and start again
-            yield _links(parent)
+            yield _links([(x, root(x)) for x in list(parent)])
             parent = {}
-    yield _links(parent)
+    yield _links([(x, root(x)) for x in list(parent)])
 
 
-def _links(parent: dict[int, int]) -> pa.RecordBatch:
-    rows = [(x, up) for x, up in parent.items() if x != up]
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
@@ -41,7 +40,7 @@ def components(links: DataFrame) -> DataFrame:
     """node and the smallest node it reaches, for every node of `links` (long columns a and b).
 
     Rounds of the large-star and small-star steps: every node of a star is joined to the star's least
-    node, until only stars are left. A node with very many links is a skewed key of a join, which
+    node, until only stars are left. In between every task joins what it holds. A node with very many links is a skewed key of a join, which
     Spark splits; no neighbourhood is ever gathered. Each round is written, so a lost executor costs
     a round at most. Null ends and loops link nothing; no links give no rows.
     """
@@ -57,12 +56,13 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(lowest, "u")
         edges = stage(
             small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.*").where("u <> v").distinct(),
+            .select("e.*").where("u <> v").distinct().mapInArrow(_forest, "u long, v long"),
             "stars",
         )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = edges.distinct().agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+    edges = edges.distinct()
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
