@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homescore.config import DEVICE_KEYS, KpiRules
 from homescore.functions import parsing
-from homescore.functions.numeric import disc_percentiles, percent
+from homescore.functions.numeric import percent
 
 RSSI = "sdcd_signal_strength"
 RATE = "sdcd_tx_link_rate"
@@ -47,40 +47,55 @@ def device_kpis(
 ) -> DataFrame:
     """One row per device with signal, rate, stationarity and volume figures and its parents.
 
-    The figures share one grouping, so the telemetry is read and shuffled once; the shuffle carries
-    one partial state per device and map task, which keeps a device or home with very many readings
-    from landing on one task. Each figure keeps the conditions under which it exists: `n_rssi` against
+    The telemetry is read once. A first aggregation, hashed and combined map-side, leaves a row per
+    device, parent, band and signal value with counts and sums: few rows, as there are some hundred dBm
+    values, and none of them grows with a device's readings. Percentiles, parents and figures come
+    from these. Readings without a row key or station keep no parents. Each figure keeps the conditions under which it exists: `n_rssi` against
     the minimum, `n_phy` above zero, and `kept` for the outlier rule. Devices with a NULL key still count
     in totals; the scoring steps drop them.
     """
-    valid = valid_rate(rules)
+    valid, grouped = valid_rate(rules), grouping_keys(keys)
+    volumes = {"byte_send", "byte_received"} <= set(telemetry.columns)
+    with_parents = "parent_id" in telemetry.columns and "parent_id" not in keys
+    named_key = reduce(and_, [F.col(k).isNotNull() for k in grouped])
+    apart = [F.when(named_key, F.col("parent_id")).alias("parent_id")] if with_parents else []
+
     has_signal = F.col(RSSI).isNotNull()
+    moved = ("byte_send", "byte_received") if volumes else ()
+    cells = telemetry.groupBy(*grouped, *apart, BAND, RSSI).agg(
+        F.count(RSSI).alias("n"),
+        F.count_if(valid).alias("n_phy"),
+        F.sum(F.when(valid, F.col(RATE))).alias("rates"),
+        F.count_if(valid & (F.col(RATE) < rules.slow_rate)).alias("n_slow"),
+        *[F.sum(F.when(has_signal, F.col(name))).alias(name) for name in moved],
+    )
+    device = Window.partitionBy(*grouped)
+    ranked = cells.withColumns(
+        {"upto": F.sum("n").over(device.orderBy(RSSI)), "whole": F.sum("n").over(device)}
+    )
 
     def in_band(i: int) -> Column:
-        return F.avg(F.when(F.col(BAND) == rules.weak_signal[i][0], F.col(RSSI)))
-
-    optional = []
-    if {"byte_send", "byte_received"} <= set(telemetry.columns):
-        optional += [
-            F.sum(F.when(has_signal, F.col(name))).alias(name) for name in ("byte_send", "byte_received")
-        ]
-    if "parent_id" in telemetry.columns and "parent_id" not in keys:
+        here = F.col(BAND) == rules.weak_signal[i][0]
+        return F.try_divide(F.sum(F.when(here, F.col(RSSI) * F.col("n"))), F.sum(F.when(here, F.col("n"))))
+
+    def percentile(p: float) -> Column:
+        """Least signal with a share of `p` of the readings at or below it."""
+        return F.min(F.when((F.col("n") > 0) & (F.col("upto") >= F.lit(p) * F.col("whole")), F.col(RSSI)))
+
+    optional = [F.sum(name).alias(name) for name in moved]
+    if with_parents:
         # A struct keeps "no parent" as a member, which a plain set would lose.
-        optional.append(F.collect_set(F.struct("parent_id")).alias("parents"))
-
-    per_device = (
-        telemetry.groupBy(*grouping_keys(keys))
-        .agg(
-            F.count(RSSI).alias("n_rssi"),
-            F.count_if(weak_signal(rules)).alias("n_weak"),
-            *[in_band(i).alias(f"avg_sig_strength_cat{i + 1}") for i in range(len(rules.weak_signal))],
-            F.count_if(valid).alias("n_phy"),
-            F.avg(F.when(valid, F.col(RATE))).alias("avg_phyrate"),
-            F.count_if(valid & (F.col(RATE) < rules.slow_rate)).alias("n_slow"),
-            disc_percentiles(RSSI, rules.percentiles).alias("pct"),
-            F.max(RSSI).alias("max_rssi"),
-            *optional,
-        )
+        optional.append(F.collect_set(F.when(named_key, F.struct("parent_id"))).alias("parents"))
+    per_device = ranked.groupBy(*grouped).agg(
+        F.sum("n").alias("n_rssi"),
+        F.sum(F.when(weak_signal(rules), F.col("n")).otherwise(0)).alias("n_weak"),
+        *[in_band(i).alias(f"avg_sig_strength_cat{i + 1}") for i in range(len(rules.weak_signal))],
+        F.sum("n_phy").alias("n_phy"),
+        F.try_divide(F.sum("rates"), F.sum("n_phy")).alias("avg_phyrate"),
+        F.sum("n_slow").alias("n_slow"),
+        F.array(*[percentile(p) for p in rules.percentiles]).alias("pct"),
+        F.max(RSSI).alias("max_rssi"),
+        *optional,
     )
     low, p10, mid, p90 = (F.col("pct")[i] for i in range(4))
     bound = F.least(p10 - rules.spread_factor * (p90 - p10), low)
@@ -127,16 +142,19 @@ def stationarity_rows(
     """Readings that survive the outlier rule with interpolated percentiles, plus their device's flag.
 
     Of the two bounds the one that drops fewer readings applies. Both drop everything below them, so
-    that is always the lower one and no counting is needed. Percentiles come from one aggregation whose
-    state is a counter per distinct signal value; the readings then meet one row per device.
+    that is always the lower one and no counting is needed. Percentiles come from counts per signal
+    value; the readings then meet one row per device, where a device with very many of them is split
+    at run time.
     """
     points = F.array(*[F.lit(p) for p in rules.percentiles])
     low, p10, mid, p90 = (F.col("pct")[i] for i in range(4))
     grouped = grouping_keys(keys)
     readings = telemetry.dropna(subset=[*grouped, RSSI])
     bounds = (
-        readings.groupBy(*grouped)
-        .agg(F.percentile(RSSI, points).alias("pct"))
+        readings.groupBy(*grouped, RSSI)
+        .agg(F.count("*").alias("n"))
+        .groupBy(*grouped)
+        .agg(F.percentile(RSSI, points, F.col("n")).alias("pct"))
         .select(
             *grouped,
             F.least(p10 - rules.spread_factor * (p90 - p10), low).alias("bound"),

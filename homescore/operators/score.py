@@ -23,7 +23,6 @@ from homescore.operators import weights as W
 from homescore.operators.kpi import device_kpis
 from homescore.operators.reshape import round_columns
 from homescore.operators.topology import attach_identity, attach_topology
-from homescore.sources.staging import stage
 
 ROLLUP_B = ("avg_phyrate", "poor_phyrate", "stationarity", "weights", "poor_rssi")
 ROLLUP_C = (
@@ -43,39 +42,41 @@ def score_expr(rules: ScoreRules) -> Column:
     return (100 - F.col("poor_rssi")) * rules.rssi_share + (100 - F.col("poor_phyrate")) * rules.phy_share
 
 
-def device_rollup(
-    df: DataFrame,
-    features: Sequence[str],
-    keys: Sequence[str] = DEVICE_GROUP_KEYS,
-) -> DataFrame:
-    """One row per device: average features and the sets of routers and extenders it used."""
-    return df.groupBy(*keys).agg(
-        *[F.avg(name).alias(name) for name in features],
-        *[F.sort_array(F.collect_set(name)).alias(name) for name in TOPOLOGY_SETS],
-    )
+def device_rollup(df: DataFrame, keys: Sequence[str] = DEVICE_KEYS) -> DataFrame:
+    """One row per device: the sets of routers and extenders it used."""
+    return df.groupBy(*keys).agg(*[F.sort_array(F.collect_set(name)).alias(name) for name in TOPOLOGY_SETS])
 
 
 def _located(weighted: DataFrame, groups: DataFrame, identity: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Topology per parent, rolled up per device, then identity.
+    """Topology per parent, rolled up per device and joined to the device's row, then identity.
 
+    Only keys and parents meet the topology, so a device's figures are neither copied nor averaged back.
     Identity comes last because it only copies a finished device row to each of its subscribers.
     """
-    per_parent = weighted.select(*DEVICE_KEYS, *features, F.inline("parents"))
-    devices = device_rollup(attach_topology(per_parent, groups), features, DEVICE_KEYS)
+    per_parent = weighted.select(*DEVICE_KEYS, F.inline("parents"))
+    found = device_rollup(attach_topology(per_parent, groups))
+    devices = weighted.select(*DEVICE_KEYS, *features).join(found, list(DEVICE_KEYS))
     return attach_identity(devices, identity).select(*DEVICE_GROUP_KEYS, *features, *TOPOLOGY_SETS)
 
 
+def kpis_a(telemetry: DataFrame, kpi_rules: KpiRules = KpiRules()) -> DataFrame:
+    """What variant A needs of each device and parent."""
+    used = ("n_rssi", "n_phy", "avg_phyrate", "poor_phyrate", "poor_rssi")
+    return device_kpis(telemetry, kpi_rules, DEVICE_PARENT_KEYS).select(*DEVICE_PARENT_KEYS, *used)
+
+
 def device_scores_a(
-    telemetry: DataFrame,
+    kpis: DataFrame,
     groups: DataFrame,
     identity: DataFrame,
     rules: ScoreRules = SCORE_A,
     kpi_rules: KpiRules = KpiRules(),
     per_home: bool = False,
 ) -> DataFrame:
-    """Variant A: scores per device and parent, for homes with a known subscriber."""
-    used = ("n_rssi", "n_phy", "avg_phyrate", "poor_phyrate", "poor_rssi")
-    kpis = W.stage_kpis(device_kpis(telemetry, kpi_rules, DEVICE_PARENT_KEYS).select(*DEVICE_PARENT_KEYS, *used))
+    """Variant A: scores per device and parent of `kpis_a`, for homes with a known subscriber.
+
+    All variants read `kpis` for totals and for rows, so a job writes that small table first.
+    """
     weighted = (
         W.weights_a(kpis, rules, per_home)
         .dropna(subset=list(DEVICE_PARENT_KEYS))
@@ -98,34 +99,37 @@ def extender_rows(df: DataFrame) -> DataFrame:
 
 
 def device_scores_b(
-    telemetry: DataFrame,
+    kpis: DataFrame,
     groups: DataFrame,
     identity: DataFrame,
     rules: ScoreRules = SCORE_B,
     kpi_rules: KpiRules = KpiRules(),
 ) -> DataFrame:
     """Variant B: weights cut for slow stationary devices, two roundings."""
-    kpis = W.stage_kpis(device_kpis(telemetry, kpi_rules))
     weighted = W.weights_b(kpis, rules, kpi_rules)
     return _located(weighted, groups, identity, ROLLUP_B).withColumn("device_score", score_expr(rules))
 
 
-def device_scores_c(
-    telemetry: DataFrame,
+def located_devices_c(
+    kpis: DataFrame,
     groups: DataFrame,
     identity: DataFrame,
     rules: ScoreRules = SCORE_C,
     kpi_rules: KpiRules = KpiRules(),
 ) -> DataFrame:
+    """Devices of variant C with their place and subscriber, weighted by volume."""
+    scored = kpis.dropna(subset=list(DEVICE_KEYS)).where((F.col("n_rssi") >= kpi_rules.min_readings) & (F.col("n_phy") > 0) & F.col("kept"))
+    weighted = scored.withColumn("weights", F.col("volume")).transform(W.penalise_slow, rules)
+    return _located(weighted, groups, identity, ROLLUP_C)
+
+
+def device_scores_c(located: DataFrame, rules: ScoreRules = SCORE_C) -> DataFrame:
     """Variant C: weights from traffic volume, summing to 1 per subscriber of a home.
 
     The first share divides every device of a home by the same total, which the second share cancels,
-    so the second is taken straight from the volumes. `telemetry` must hold complete readings only.
+    so the second is taken straight from the volumes. The telemetry behind `located_devices_c` must
+    hold complete readings only.
     """
-    kpis = device_kpis(telemetry, kpi_rules).dropna(subset=list(DEVICE_KEYS))
-    scored = kpis.where((F.col("n_rssi") >= kpi_rules.min_readings) & (F.col("n_phy") > 0) & F.col("kept"))
-    weighted = scored.withColumn("weights", F.col("volume")).transform(W.penalise_slow, rules)
-    located = stage(_located(weighted, groups, identity, ROLLUP_C), "device-rollup")
     return W.renormalise(located).withColumn("device_score", score_expr(rules)).select(
         *DEVICE_GROUP_KEYS, *ROLLUP_C, *TOPOLOGY_SETS, "device_score"
     )
@@ -139,9 +143,11 @@ def rounded_device_scores(devices: DataFrame) -> DataFrame:
 
 
 def _weighted_sums(places: int | None = 4, score: str = "device_score") -> list[Column]:
+    """Sums of products kept to 14 places: exact in any order, so a tie always rounds the same way."""
+
     def total(name: str) -> Column:
-        value = F.sum(F.col(name) * F.col("weights"))
-        return value if places is None else F.round(value, places)
+        value = F.sum((F.col(name) * F.col("weights")).cast("decimal(28,14)"))
+        return (value if places is None else F.round(value, places)).cast("double")
 
     return [
         total("poor_rssi").alias("poor_rssi"),

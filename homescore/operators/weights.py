@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from homescore.config import DEVICE_KEYS, HOME_KEYS, SCORE_A, SCORE_B, SCORE_C, KpiRules, ScoreRules
 from homescore.functions.numeric import clipped_ratio
-from homescore.sources.staging import stage
 
 
 def group_total(df: DataFrame, keys: Sequence[str], value: str, total: str) -> DataFrame:
@@ -117,8 +116,3 @@ def weights_c(
 def renormalise(df: DataFrame, keys: Sequence[str] = HOME_KEYS) -> DataFrame:
     return share_of_group(df, keys, "weights", "weights")
 
-
-def stage_kpis(kpis: DataFrame) -> DataFrame:
-    """Written once, since every weighting reads the per-device table for totals and for rows."""
-    return stage(kpis, "device-kpis")
-

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from homescore.config import ModelFamilies
 from homescore.operators import dataset, model, score
 from homescore.operators.cohort import cohort_by_counts
+from homescore.operators.kpi import device_kpis
 from homescore.operators.reshape import stamp_date
 from homescore.operators.telemetry import telemetry
 from homescore.operators.topology import device_groups, subscriber_identity
@@ -53,13 +54,13 @@ def score_day(
     groups = _table(spark, tables.device_groups)
     mapped_on = D.latest_day(mapping, delivered, identity_back, 1)
     grouped_on = D.latest_day(groups, delivered, groups_back)
-    devices = score.device_scores_c(
-        telemetry(history, complete=True),
+    located = score.located_devices_c(
+        device_kpis(telemetry(history, complete=True)),
         device_groups(groups.where(F.col("date") == F.lit(grouped_on))),
         subscriber_identity(mapping.where(F.col("date") == F.lit(mapped_on))),
     )
-    # Two outputs are made from the device rows.
-    devices = stage(devices, "device-scores")
+    # Weights and two outputs are made from the device rows.
+    devices = score.device_scores_c(stage(located, "located-devices"))
     overwrite_days(stamp_date(score.rounded_device_scores(devices), str(day)), tables.device_score, files=files)
     overwrite_days(stamp_date(score.home_scores(devices), str(day)), tables.home_score, files=files)
 

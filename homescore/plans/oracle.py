@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from homescore.config import FEATURE_BINS, FEATURE_METRICS, INCREMENT_EDGES, WINDOW_FEATURES
 
+from homescore.operators.score import ROLLUP_B, ROLLUP_C
+
 
 def rnd(expr: str, places: int = 4) -> str:
     """Round half up on the printed value, as the engine under test does."""
     return f"round((({expr})::double)::varchar::decimal(38,16), {places})::double"
 
 
+def weighted(value: str) -> str:
+    """Sum over a home of a figure times the weight, exact to 14 places whatever the order of rows."""
+    return f"sum(({value} * weights)::decimal(28,14))"
+
+
 def ctes(*names: str) -> str:
     """WITH clause holding the named steps and everything they build on."""
     needed: list[str] = []
@@ -135,7 +142,7 @@ def _rollup(weights: str, parents: str, features: tuple[str, ...]) -> str:
     keys = ", ".join("w." + k.strip() for k in KEYS.split(","))
     return f"""
         select w.serial_num, mdn, cust_id, w.rowkey, w.rk_row_sn, w.station_mac,
-               {", ".join(f"avg(w.{f}) as {f}" for f in features)},
+               {", ".join(f"any_value(w.{f}) as {f}" for f in features)},
                list_sort(coalesce(list(distinct RouExt_mac) filter (where RouExt_mac is not null), [])) as RouExt_mac,
                list_sort(coalesce(list(distinct dg_model) filter (where dg_model is not null), [])) as dg_model,
                list_sort(coalesce(list(distinct parent_mac) filter (where parent_mac is not null), [])) as parent_mac,
@@ -151,9 +158,9 @@ def _rollup(weights: str, parents: str, features: tuple[str, ...]) -> str:
 def _home(devices: str) -> str:
     return f"""
         select serial_num, mdn, cust_id, count(*) as num_station,
-               {rnd("sum(poor_rssi * weights)")} as poor_rssi,
-               {rnd("sum(poor_phyrate * weights)")} as poor_phyrate,
-               {rnd("sum(device_score * weights)")} as home_score,
+               {rnd(weighted("poor_rssi"))} as poor_rssi,
+               {rnd(weighted("poor_phyrate"))} as poor_phyrate,
+               {rnd(weighted("device_score"))} as home_score,
                list(distinct dg_model) as dg_model, list(distinct Rou_Ext) as Rou_Ext
         from {{{devices}}} group by serial_num, mdn, cust_id"""
 
@@ -166,18 +173,6 @@ def _per_model(homes: str, model: str = "flatten(dg_model)", more: str = "num_st
         from {homes}"""
 
 
-B_FEATURES = ("avg_phyrate", "poor_phyrate", "stationarity", "weights", "poor_rssi")
-C_FEATURES = (
-    "avg_phyrate",
-    "poor_phyrate",
-    "stationarity",
-    "volume",
-    "weights",
-    "poor_rssi",
-    "avg_sig_strength_cat1",
-    "avg_sig_strength_cat2",
-    "avg_sig_strength_cat3",
-)
 ROOT = "Station_Data_connect_data_b_"
 STATION_FIELDS = (
     "station_mac parent_id connect_type tx_link_rate link_rate signal_strength snr airtime_util bw channel"
@@ -339,11 +334,11 @@ STEPS: dict[str, str] = {
               join {{rssi_a}} r on {on_keys("p", "r", KEYS + ", parent_id")}) w
         join {{everyone}} i on i.serial_num = w.serial_num
         left join {{groups}} g on g.dg_rowkey = w.rk_row_sn and g.RouExt_mac = w.parent_id""",
-    "rollup_b": _rollup("weights_b_p", "parents_p", B_FEATURES),
+    "rollup_b": _rollup("weights_b_p", "parents_p", ROLLUP_B),
     "devices_b": """
         select *, (100 - poor_rssi) * 0.4::double + (100 - poor_phyrate) * 0.6::double as device_score
         from {rollup_b}""",
-    "rollup_c": _rollup("weights_c_q", "parents_q", C_FEATURES),
+    "rollup_c": _rollup("weights_c_q", "parents_q", ROLLUP_C),
     "devices_c": """
         select * replace (weights / nullif(sum(weights) over (partition by serial_num, mdn, cust_id), 0) as weights),
                (100 - poor_rssi) * 0.5::double + (100 - poor_phyrate) * 0.5::double as device_score
@@ -578,13 +573,13 @@ ORACLE: dict[str, str] = {
         ("avg_phyrate", "poor_phyrate", "weights", "poor_rssi", "device_score"),
         f"mdn, cust_id, {KEYS}, parent_id, RouExt_mac, dg_model, parent_mac, firmware, Rou_Ext",
     ),
-    "device_score_b": ctes("devices_b") + _stored("devices_b", B_FEATURES),
-    "device_score_c": ctes("devices_c") + _stored("devices_c", C_FEATURES),
+    "device_score_b": ctes("devices_b") + _stored("devices_b", ROLLUP_B),
+    "device_score_c": ctes("devices_c") + _stored("devices_c", ROLLUP_C),
     "home_score_a": ctes("devices_a")
     + f"""
-        select serial_num, mdn, cust_id, Rou_Ext, {rnd("sum(poor_rssi * weights)")} as poor_rssi,
-               {rnd("sum(poor_phyrate * weights)")} as poor_phyrate,
-               {rnd("sum(device_score * weights)")} as home_score, max(firmware) as firmware
+        select serial_num, mdn, cust_id, Rou_Ext, {rnd(weighted("poor_rssi"))} as poor_rssi,
+               {rnd(weighted("poor_phyrate"))} as poor_phyrate,
+               {rnd(weighted("device_score"))} as home_score, max(firmware) as firmware
         from devices_a where Rou_Ext = 1 group by serial_num, mdn, cust_id, Rou_Ext""",
     "home_score_b": ctes("homes_b") + _per_model("homes_b"),
     "home_score_c": ctes("homes_c") + _per_model("homes_c"),
@@ -601,9 +596,9 @@ ORACLE: dict[str, str] = {
     "home_from_detail": ctes("everyone")
     + f"""
         , detail as ({_DETAIL}),
-        homes as (select serial_num, mdn, cust_id, {rnd("sum(poor_rssi * weights)")} as poor_rssi,
-                         {rnd("sum(poor_phyrate * weights)")} as poor_phyrate,
-                         {rnd("sum(score * weights)")} as home_score, max(dg_model) as dg_model, max(date) as date
+        homes as (select serial_num, mdn, cust_id, {rnd(weighted("poor_rssi"))} as poor_rssi,
+                         {rnd(weighted("poor_phyrate"))} as poor_phyrate,
+                         {rnd(weighted("score"))} as home_score, max(dg_model) as dg_model, max(date) as date
                   from detail group by serial_num, mdn, cust_id),
         per_model as (select distinct * from (select date, serial_num, poor_rssi, poor_phyrate, home_score,
                          {texts("dg_model")} as dg_model, unnest(dg_model) as dg_model_indiv from homes))

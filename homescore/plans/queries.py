@@ -216,7 +216,8 @@ def _weights(df: DataFrame) -> DataFrame:
 
 
 def _staged_kpis(spark: SparkSession, sf: str) -> DataFrame:
-    return W.stage_kpis(_kpis(spark, sf).drop("parents"))
+    """Written once, since every weighting reads the per-device table for totals and for rows."""
+    return staging.stage(_kpis(spark, sf).drop("parents"), "device-kpis")
 
 
 def weights_a(spark, sf):
@@ -268,17 +269,20 @@ def topology_join(spark, sf):
 def _scores_a(spark: SparkSession, sf: str) -> DataFrame:
     identity = _identity(spark, sf, status=None, distinct=False)
     # Single parents rarely give enough readings here; the minimum is the only rule that differs.
-    return score.device_scores_a(
-        _parsed(spark, sf, False), _groups(spark, sf), identity, kpi_rules=KpiRules(min_readings=1)
-    )
+    rules = KpiRules(min_readings=1)
+    kpis = staging.stage(score.kpis_a(_parsed(spark, sf, False), rules), "device-kpis")
+    return score.device_scores_a(kpis, _groups(spark, sf), identity, kpi_rules=rules)
 
 
 def _scores_b(spark: SparkSession, sf: str) -> DataFrame:
-    return score.device_scores_b(_parsed(spark, sf, False), _groups(spark, sf), _identity(spark, sf))
+    kpis = staging.stage(kpi.device_kpis(_parsed(spark, sf, False)), "device-kpis")
+    return score.device_scores_b(kpis, _groups(spark, sf), _identity(spark, sf))
 
 
 def _scores_c(spark: SparkSession, sf: str) -> DataFrame:
-    return score.device_scores_c(_parsed(spark, sf, True), _groups(spark, sf), _identity(spark, sf))
+    kpis = kpi.device_kpis(_parsed(spark, sf, True))
+    located = score.located_devices_c(kpis, _groups(spark, sf), _identity(spark, sf))
+    return score.device_scores_c(staging.stage(located, "located-devices"))
 
 
 def device_score_a(spark, sf):

@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="homescore-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can read: the cluster's checkpoint folder.
-
-    Only a session running on one machine may go without the setting.
-    """
+    """Folder every executor can read: the checkpoint folder, or without one the warehouse."""
     folder = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
-    return _local_folder()
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -122,9 +122,22 @@ def test_exact_stationarity_rows(spark):
     assert got == {mac: outlier_rows(group) for mac, group in pdf.groupby("station_mac")}
 
 
-def test_one_scan_and_one_shuffle(spark):
+def test_one_scan_and_shuffles_of_counts_only(spark):
     text = plan(kpi.device_kpis(frame(spark, [reading("h", "m", -60)])))
     physical = text[text.index("== Physical Plan ==") :]
-    assert physical.count("Exchange hashpartitioning") == 1
-    assert "partial_percentile_disc" in physical.lower()
+    assert physical.count("Exchange hashpartitioning") == 2
+    assert physical.count("Scan ExistingRDD") + physical.count("LocalTableScan") == 1
     assert rows(frame(spark, [reading("h", "m", -60)]), *DEVICE_KEYS)
+
+
+def test_readings_meet_no_object_aggregate_and_null_keys_keep_no_parents(spark):
+    telemetry = frame(spark, [reading("h", "m", -60 - i % 3, parent=f"p{i % 2}") for i in range(40)] + [reading("h", None, -60, parent=f"q{i}") for i in range(50)])
+    kpis = kpi.device_kpis(telemetry)
+    got = {r.station_mac: r for r in kpis.collect()}
+    assert [p.parent_id for p in sorted(got["m"].parents)] == ["p0", "p1"] and got[None].parents == []
+    assert (got["m"].n_rssi, got[None].n_rssi) == (40, 50)
+    physical = kpis._jdf.queryExecution().sparkPlan().toString().splitlines()
+    depth = {k: len(line) - len(line.lstrip(" :+-")) for k, line in enumerate(physical)}
+    objects = [k for k, line in enumerate(physical) if "ObjectHashAggregate" in line or "SortAggregate" in line]
+    hashes = [k for k, line in enumerate(physical) if " HashAggregate" in line or line.lstrip(" :+-").startswith("HashAggregate")]
+    assert objects and hashes and max(depth[k] for k in objects) < min(depth[k] for k in hashes)

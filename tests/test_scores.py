@@ -7,6 +7,7 @@ from homescore.config import HOME_KEYS
 from homescore.operators import score, topology
 from homescore.operators import weights as W
 from homescore.operators.kpi import device_kpis
+from homescore.plans.queries import QUERIES
 from tests.conftest import rows
 from tests.test_kpi import frame, reading
 
@@ -44,8 +45,16 @@ def homes(spark):
     return telemetry, dg, ids
 
 
+def scores_b(telemetry, dg, ids):
+    return score.device_scores_b(device_kpis(telemetry), dg, ids)
+
+
+def scores_c(telemetry, dg, ids):
+    return score.device_scores_c(score.located_devices_c(device_kpis(telemetry), dg, ids))
+
+
 def test_variant_b_by_hand(spark, homes):
-    devices = {(r["station_mac"], r["mdn"]): r for r in score.device_scores_b(*homes).collect()}
+    devices = {(r["station_mac"], r["mdn"]): r for r in scores_b(*homes).collect()}
     assert len(devices) == 8
     a, b = devices["a", "m1"], devices["b", "m1"]
     # p50 = -60 or -61 and p90 = -60: both are stationary; b runs at 10 of 20.718.
@@ -61,7 +70,7 @@ def test_variant_b_by_hand(spark, homes):
 
 
 def test_variant_c_by_hand(spark, homes):
-    scored = score.device_scores_c(*homes)
+    scored = scores_c(*homes)
     devices = {(r["station_mac"], r["mdn"]): r for r in scored.collect()}
     volume = math.log(25 * 40)
     cut = volume * 10 / 20.718
@@ -77,7 +86,7 @@ def test_cancelled_first_share_changes_nothing(spark, homes):
     """Variant C takes one share; the written-out rule takes two."""
     telemetry, dg, ids = homes
     twice = W.renormalise(topology.attach_identity(W.weights_c(device_kpis(telemetry)), ids))
-    once = score.device_scores_c(*homes)
+    once = scores_c(*homes)
     first = {(r["station_mac"], r["mdn"]): r["weights"] for r in twice.collect()}
     second = {(r["station_mac"], r["mdn"]): r["weights"] for r in once.collect()}
     assert first.keys() == second.keys()
@@ -85,7 +94,7 @@ def test_cancelled_first_share_changes_nothing(spark, homes):
 
 
 def test_homes_have_a_row_per_model_and_none_without(spark, homes):
-    out = score.home_scores(score.device_scores_c(*homes))
+    out = score.home_scores(scores_c(*homes))
     assert rows(out, "serial_num", "mdn", "dg_model_indiv", "num_station") == [
         ("h1", "m1", "extender", 2),
         ("h1", "m1", "router", 2),
@@ -96,7 +105,7 @@ def test_homes_have_a_row_per_model_and_none_without(spark, homes):
 
 def test_variant_a_shares_the_whole_table(spark, homes):
     telemetry, dg, ids = homes
-    devices = score.device_scores_a(telemetry, dg, ids)
+    devices = score.device_scores_a(score.kpis_a(telemetry), dg, ids)
     got = {(r["station_mac"], r["mdn"]): r for r in devices.collect()}
     # Unknown homes count in the total but have no row.
     total = 5 + 10 / 20.718
@@ -134,3 +143,32 @@ def test_rescore_folds_repeated_rows(spark):
         " weights double, device_score double, dg_model array<string>, Rou_Ext array<int>",
     )
     assert rows(score.rescore_homes(stored), "home_score", "dg_model_indiv") == [(95.0, "a"), (95.0, "b")]
+
+
+@pytest.mark.parametrize("name", ["home_score_a", "home_score_b", "home_score_c"])
+def test_home_scores_do_not_depend_on_partitions(spark, name):
+    found = set()
+    try:
+        for parts in ("2", "4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.add(repr(rows(QUERIES[name](spark, "/root/testdata/sf0.001"))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(found) == 1
+
+
+def test_ties_round_up(spark):
+    """Halves of the fourth place, which sums of doubles would round by the order of rows."""
+    data = [("h", "m", "c", str(k), 0.1, 0.1, w, 0.1, ["a"], [0]) for k, w in enumerate([0.3334, 0.3333, 0.3333] + [0.0005])]
+    df = spark.createDataFrame(
+        data,
+        "serial_num string, mdn string, cust_id string, station_mac string, poor_rssi double, poor_phyrate double,"
+        " weights double, device_score double, dg_model array<string>, Rou_Ext array<int>",
+    )
+    assert rows(score.home_scores(df), "home_score") == [(0.1001,)]
+
+
+def test_scoring_operators_run_no_job(spark, homes):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    scores_b(*homes), score.home_scores(scores_c(*homes)), score.device_scores_a(score.kpis_a(homes[0]), *homes[1:])
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
