@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from homescore.llm.common import stage
+from homescore.llm.common import discard, stage
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,11 +54,13 @@ def components(links: DataFrame) -> DataFrame:
         # now every link leads downwards; the least below a node takes over its other links
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u")
+        older = edges
         edges = stage(
             small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*").where("u <> v").distinct().mapInArrow(_forest, "u long, v long"),
             "stars",
         )
+        discard(older)
         now = edges.distinct().agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

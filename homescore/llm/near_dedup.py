@@ -17,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homescore.llm.common import mix, span_hashes, stage, table, window_hashes, word_spans
+from homescore.llm.common import discard, mix, span_hashes, stage, table, window_hashes, word_spans
 from homescore.llm.components import components
 
-_BATCH_BYTES = 2_000_000
+_BATCH_BYTES = 1_000_000
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 
@@ -227,22 +227,26 @@ def _links(keyed: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
     trees = classes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(how.trees - 1))).alias("tree"))
     orders = trees.select("tree", key.alias("key"), "node")
     first = True
-    tried = links = found = None
+    tried = links = found = met = sets = None
     while True:
         rows = orders.withColumn("component", F.col("node")) if first else orders.join(found, "node")
-        pairs = _neighbours(rows, how)
-        pairs = stage(pairs if first else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = stage(_sets(keyed, classes.select("k1", "k2", "node").join(ends, "node"), how).dropDuplicates(["node"]), "sets")
+        near = _neighbours(rows, how)
+        pairs = stage(near if first else near.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if first:
+            # A class that no other came near in any order has a region of its own in all of them, so
+            # later rounds go on with the others, whose sets are read once.
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+            met = stage(ends.distinct(), "ends")
+            wanted = classes.select("k1", "k2", "node").join(met, "node")
+            sets = stage(_sets(keyed, wanted, how).dropDuplicates(["node"]), "sets")
         new = stage(_confirmed(pairs, sets, how), "links")
         links = new if first else links.union(new)
         tried = pairs if first else tried.union(pairs)
         if new.isEmpty():
+            discard(sets)
             return links
-        found = components(links)
-        # a class that no other came near in any order has a region of its own
-        met = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).distinct()
-        found = stage(met.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "found")
+        joined = met.join(components(links), "node", "left")
+        found = stage(joined.select("node", F.coalesce("component", "node").alias("component")), "found")
         first = False
 
 

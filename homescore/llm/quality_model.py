@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from homescore.llm.common import held_out, id_text, span_hashes, table, word_spans
 
 THRESHOLD = 0.7
-_BYTES = 2_000_000  # of texts scored at once
+_BYTES = 1_000_000  # of texts scored at once
 _LAGS = (1, 2, 3, 4)
 
 

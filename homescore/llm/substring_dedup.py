@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homescore.llm.common import mix, powers, span_hashes, stage, table, window_hashes, word_spans
+from homescore.llm.common import discard, mix, powers, span_hashes, stage, table, window_hashes, word_spans
 
 WINDOW = 35
 SEED = 8
 _BASES = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
-_BATCH_BYTES = 4_000_000
+_BATCH_BYTES = 1_000_000
 _KEY = ["k1", "k2"]
 
 
@@ -136,6 +136,7 @@ def repeated_blocks(keyed: DataFrame, window: int) -> DataFrame:
     one = (F.min("b1") == F.max("b1")) & (F.min("b2") == F.max("b2"))
     again = blocks.groupBy("seed").agg(F.count("*").alias("times"), (~one).alias("mixed")).where("times > 1").drop("times")
     met = stage(blocks.join(again, "seed"), "met")
+    discard(blocks)
 
     key = ["seed", "b1", "b2"]
     texts = stage(
@@ -153,7 +154,9 @@ def repeated_blocks(keyed: DataFrame, window: int) -> DataFrame:
         .select(*key, F.when(F.col("c") > 1, every).otherwise(F.col("bits")).alias("bits"), source.alias("source"))
         .where("bits is not null")
     )
-    return met.select(*key, *_KEY, "s").join(bits, key).select(*_KEY, "s", "bits", "source")
+    found = stage(met.select(*key, *_KEY, "s").join(bits, key).select(*_KEY, "s", "bits", "source"), "spans")
+    discard(met, texts, windows)
+    return found
 
 
 def factors(blocks: list[dict], window: int) -> list[tuple[int, int]]:
