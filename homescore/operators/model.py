@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homescore.config import SWEEP_FEATURES, ForestParams, ModelFamilies, RecommendationRules
@@ -100,18 +102,29 @@ def logistic(train_rows: int) -> LogisticRegression:
     )
 
 
+def complete(features: Sequence[str], imputed: Sequence[str] = ()) -> Column:
+    """Rows whose features, but for those that are imputed, are all there."""
+    known = [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in features if f not in imputed]
+    return reduce(and_, known, F.lit(True))
+
+
 def fit_forest(
     train: DataFrame,
     features: Sequence[str] = SWEEP_FEATURES,
     imputed: Sequence[str] = (),
     params: ForestParams = ForestParams(),
 ) -> PipelineModel:
-    """Forest with balanced classes; MLlib trains it over the partitions of `train`."""
+    """Forest with balanced classes; MLlib trains it over the partitions of `train`.
+
+    Homes that lack a feature are not learned from.
+    """
+    train = train.where(complete(features, imputed))
     steps = [imputer(imputed)] if imputed else []
     return Pipeline(stages=[*steps, assembler(features), forest(params)]).fit(with_class_weight(train))
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str] = SWEEP_FEATURES) -> PipelineModel:
+    train = train.where(complete(features))
     return Pipeline(stages=[assembler(features), logistic(train.count())]).fit(with_class_weight(train))
 
 
@@ -171,12 +184,25 @@ def population_rows(population: DataFrame, rules: RecommendationRules = Recommen
     )
 
 
+def with_prediction(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Rows that lack none of the model's features, with its prediction."""
+    imputed, features = _inputs(model)
+    return model.transform(df.where(complete(features, imputed)))
+
+
+def _inputs(model: PipelineModel) -> tuple[list[str], list[str]]:
+    imputed = [c for s in model.stages if isinstance(s, ImputerModel) for c in s.getInputCols()]
+    features = [c for s in model.stages if isinstance(s, VectorAssembler) for c in s.getInputCols()]
+    return imputed, features
+
+
 def score_population(model: PipelineModel, population: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Probability that a home improves, to 4 places."""
-    chance = vector_to_array("probability")[1]
-    return model.transform(population).select(
-        "serial_num", *keep, F.round(chance, 4).alias("extender_score")
-    )
+    """Probability that a home improves, to 4 places; NULL for homes that lack a feature."""
+    imputed, features = _inputs(model)
+    chance = F.round(vector_to_array("probability")[1], 4)
+    scored = with_prediction(model, population).select("serial_num", *keep, chance.alias("extender_score"))
+    rest = population.where(~complete(features, imputed))
+    return scored.union(rest.select("serial_num", *keep, F.lit(None).cast("double").alias("extender_score")))
 
 
 def recommend(
@@ -188,7 +214,7 @@ def recommend(
     """Train on the installs, and return the hold-out metrics and the scored population."""
     split = with_split(training_rows(installs, families, rules))
     model = fit_forest(split.where("NOT is_test"), rules.features, rules.imputed, rules.forest)
-    metrics = classification_metrics(model.transform(split.where("is_test")))
+    metrics = classification_metrics(with_prediction(model, split.where("is_test")))
     scored = score_population(model, population_rows(population, rules), rules.features)
     return metrics, scored
 
@@ -204,7 +230,7 @@ def population_share(
     parts = []
     for threshold in thresholds:
         model = fit_forest(_train_part(training, threshold), features, params=params)
-        predicted = model.transform(population)
+        predicted = with_prediction(model, population)
         parts.append(
             predicted.agg(
                 F.count_if(F.col("prediction") == 0).alias("zeros"),
@@ -235,7 +261,7 @@ def window_sweep(
         for threshold in thresholds:
             split = with_split(enhance_label(training, threshold))
             model = fit_forest(split.where("NOT is_test"), features, params=params)
-            metrics = classification_metrics(model.transform(split.where("is_test")))
+            metrics = classification_metrics(with_prediction(model, split.where("is_test")))
             parts.append(
                 metrics.select(
                     F.lit(days).alias("window_days"), F.lit(threshold).cast("int").alias("threshold"), "*"

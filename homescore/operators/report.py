@@ -98,9 +98,11 @@ def feature_bins(df: DataFrame, bins: Mapping[str, Sequence[float]] = FEATURE_BI
         F.avg(F.when(F.col("score_increment") >= 0, 1.0).otherwise(0.0)).alias("positive"),
     )
     labels = [
-        (name, i, f"[{edges[i]}, {edges[i + 1]})") for name, edges in bins.items() for i in range(len(edges) - 1)
+        F.struct(F.lit(name).alias("feature"), F.lit(i).alias("bin"), F.lit(f"[{edges[i]}, {edges[i + 1]})").alias("bin_range"))
+        for name, edges in bins.items()
+        for i in range(len(edges) - 1)
     ]
-    all_bins = spark.createDataFrame(labels, "feature string, bin int, bin_range string")
+    all_bins = spark.range(1).select(F.inline(F.array(*labels)))
     return all_bins.join(found, ["feature", "bin"], "left").select(
         "feature",
         "bin",

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from datetime import date, timedelta
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homescore.config import ModelFamilies
 from homescore.operators import dataset, model, score
-from homescore.operators.cohort import cohort_by_counts
+from homescore.operators.cohort import cohort_by_counts, rolling_cohort
+from homescore.operators.features import device_features
 from homescore.operators.kpi import device_kpis
 from homescore.operators.reshape import stamp_date
-from homescore.operators.telemetry import telemetry
+from homescore.operators.telemetry import metric_telemetry, telemetry
 from homescore.operators.topology import device_groups, subscriber_identity
 from homescore.sources import days as D
-from homescore.sources.sinks import overwrite_days
+from homescore.sources.sinks import overwrite_days, overwrite_window
 from homescore.sources.staging import stage
 
 
@@ -61,27 +64,66 @@ def score_day(
     )
     # Weights and two outputs are made from the device rows.
     devices = score.device_scores_c(stage(located, "located-devices"))
-    overwrite_days(stamp_date(score.rounded_device_scores(devices), str(day)), tables.device_score, files=files)
-    overwrite_days(stamp_date(score.home_scores(devices), str(day)), tables.home_score, files=files)
+    overwrite_days(stamp_date(score.rounded_device_scores(devices), str(day)), tables.device_score, files=files, days=[day])
+    overwrite_days(stamp_date(score.home_scores(devices), str(day)), tables.home_score, files=files, days=[day])
 
 
-def backfill_scores(
-    spark: SparkSession, tables: Tables, today: date | str, back: int = 9, **options
-) -> list[date]:
-    """Score every one of the last `back` days that has no home scores yet."""
-    written = _existing_or_none(spark, tables.home_score)
-    if written is None:
-        first = D.as_day(today) - timedelta(back)
-        todo = D.day_list(first, back)[::-1]
-    else:
-        todo = D.days_to_backfill(written, today, back)
+@dataclass
+class Outcome:
+    """Days a job wrote, and those it could not, with the reason."""
+
+    done: list[date] = field(default_factory=list)
+    failed: dict[date, str] = field(default_factory=dict)
+
+
+def each_day(todo: Sequence[date], job: Callable[[date], None]) -> Outcome:
+    """Run `job` for every day; a day that fails is recorded and the others still run."""
+    outcome = Outcome()
     for day in todo:
-        score_day(spark, tables, day, **options)
-    return todo
+        try:
+            job(day)
+        except (FileNotFoundError, PySparkException, Py4JError) as error:
+            outcome.failed[day] = f"{type(error).__name__}: {error}"
+        else:
+            outcome.done.append(day)
+    return outcome
+
+
+def _open_days(spark: SparkSession, paths: Sequence[str], first: date, count: int) -> list[date]:
+    """Days without rows in any of the tables, latest first."""
+    todo = set(D.day_list(first, count))
+    for written in (D.table_or_none(spark, path) for path in paths):
+        if written is not None:
+            todo &= set(D.days_without_rows(written, first, count))
+    return sorted(todo, reverse=True)
+
+
+def backfill_scores(
+    spark: SparkSession, tables: Tables, today: date | str, back: int = 9, archive: str | None = None, **options
+) -> Outcome:
+    """Score every one of the last `back` days that has no home scores yet, here or in the archive."""
+    places = [tables.home_score] if archive is None else [tables.home_score, archive]
+    todo = _open_days(spark, places, D.as_day(today) - timedelta(back), back)
+    return each_day(todo, lambda day: score_day(spark, tables, day, **options))
+
+
+def features_day(spark: SparkSession, history: str, path: str, day: date | str) -> None:
+    """Mean and deviation of every metric per device of a day, from the readings delivered a day later."""
+    delivered = D.as_day(day) + timedelta(1)
+    readings = metric_telemetry(_table(spark, history).where(F.col("date") == F.lit(delivered)))
+    overwrite_days(stamp_date(device_features(readings), str(day)), path, days=[day])
 
 
-def _existing_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    return _table(spark, path) if D.existing_paths(spark, [path]) else None
+def training_dataset(
+    spark: SparkSession, tables: Tables, path: str, install: date | str, window: int = 7
+) -> None:
+    """Before / after rows of the homes that got an extender around `install`, named by their window."""
+    first = D.as_day(install)
+    devices, homes = _table(spark, tables.device_score), _table(spark, tables.home_score)
+    members = rolling_cohort(devices, first, window)
+    before, after = first - timedelta(window), first + timedelta(window)
+    rows = dataset.before_after_set(devices, homes, members, before, after, window)
+    overwrite_window(rows, path, first, window)
 
 
 def population_day(
@@ -90,7 +132,7 @@ def population_day(
     rows = dataset.router_population(
         _table(spark, tables.device_score), _table(spark, tables.home_score), day, window, routers
     )
-    overwrite_days(stamp_date(rows, str(day)), tables.router_population)
+    overwrite_days(stamp_date(rows, str(day)), tables.router_population, days=[day])
 
 
 def install_list_day(spark: SparkSession, tables: Tables, start: date | str, routers: Sequence[str]) -> None:
@@ -100,21 +142,40 @@ def install_list_day(spark: SparkSession, tables: Tables, start: date | str, rou
     D.window_of_days(homes, first - timedelta(7), 15, on_missing="error")
     cohort = stage(cohort_by_counts(homes, first), "install-cohort")
     rows = dataset.install_set(_table(spark, tables.device_score), homes, cohort, first, routers)
-    overwrite_days(stamp_date(rows, str(first)), tables.install_list)
+    overwrite_days(stamp_date(rows, str(first)), tables.install_list, days=[first])
 
 
 def recommend_day(spark: SparkSession, tables: Tables, day: date | str, families: ModelFamilies) -> DataFrame:
     """Train on all installs so far, score the population of `day` and return the hold-out metrics."""
     population = _table(spark, tables.router_population).where(F.col("date") == F.lit(D.as_day(day)))
     metrics, scored = model.recommend(_table(spark, tables.install_list), population.drop("date"), families)
-    overwrite_days(stamp_date(scored, str(day)), tables.extender_score)
+    overwrite_days(stamp_date(scored, str(day)), tables.extender_score, days=[day])
     return metrics
 
 
-def run_day(spark: SparkSession, tables: Tables, today: date | str, families: ModelFamilies) -> DataFrame:
-    """Scores first; the population and the install list follow; the recommendation comes last."""
-    backfill_scores(spark, tables, today)
+def backfill_install_lists(
+    spark: SparkSession, tables: Tables, today: date | str, routers: Sequence[str], back: int = 10
+) -> Outcome:
+    """Install lists of the last `back` start days whose days after it are over and that have none yet."""
+    first = D.as_day(today) - timedelta(8 + back - 1)
+    todo = _open_days(spark, [tables.install_list], first, back)
+    return each_day(todo, lambda day: install_list_day(spark, tables, day, routers))
+
+
+def run_day(
+    spark: SparkSession, tables: Tables, today: date | str, families: ModelFamilies
+) -> tuple[DataFrame | None, dict[str, Outcome]]:
+    """Scores first; the population and the install lists follow; the recommendation comes last.
+
+    Every step runs whatever became of the others' days. Returns the hold-out metrics, None if the
+    recommendation failed, and the outcome of each step.
+    """
     yesterday = D.as_day(today) - timedelta(1)
-    population_day(spark, tables, yesterday, families.routers)
-    install_list_day(spark, tables, D.as_day(today) - timedelta(8), families.routers)
-    return recommend_day(spark, tables, yesterday, families)
+    metrics: list[DataFrame] = []
+    outcomes = {
+        "scores": backfill_scores(spark, tables, today),
+        "population": each_day([yesterday], lambda day: population_day(spark, tables, day, families.routers)),
+        "installs": backfill_install_lists(spark, tables, today, families.routers),
+        "recommendation": each_day([yesterday], lambda day: metrics.append(recommend_day(spark, tables, day, families))),
+    }
+    return (metrics[0] if metrics else None), outcomes

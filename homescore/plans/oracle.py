@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from homescore.config import FEATURE_BINS, FEATURE_METRICS, INCREMENT_EDGES, WINDOW_FEATURES
+from homescore.config import FEATURE_BINS, FEATURE_METRICS, INCREMENT_EDGES, MODEL_FEATURES, SWEEP_FEATURES, WINDOW_FEATURES
 
 from homescore.operators.score import ROLLUP_B, ROLLUP_C
 
@@ -174,10 +174,6 @@ def _per_model(homes: str, model: str = "flatten(dg_model)", more: str = "num_st
 
 
 ROOT = "Station_Data_connect_data_b_"
-STATION_FIELDS = (
-    "station_mac parent_id connect_type tx_link_rate link_rate signal_strength snr airtime_util bw channel"
-    " tx_packets rx_packets diff_tx_packets diff_rx_packets diff_bs diff_br connect_state"
-).split()
 
 
 def _in_days(start: str, count: int) -> str:
@@ -219,6 +215,11 @@ def _phase(start: str, count: int, flag: int, first: int = 0) -> str:
 
 
 RULE = "avg_phyrate < 400 and poor_phyrate > 6 and poor_rssi > 20 and count > 10"
+RULE_200 = "avg_phyrate < 400 and poor_phyrate > 6 and poor_rssi > 20 and count * 10 > 200"
+
+
+def _all_there(names) -> str:
+    return " and ".join(f"{n} is not null" for n in names)
 
 
 def _is_test(key: str) -> str:
@@ -235,6 +236,23 @@ _LINE = f"""
            floor(l_extendedprice)::bigint as sent, (l_quantity * 100)::bigint as received
     from lineitem"""
 
+def _devices_a(suffix: str) -> str:
+    return f"""
+        select i.mdn, i.cust_id, w.*, g.RouExt_mac, g.dg_model, g.parent_mac, g.firmware,
+               case when g.parent_mac is not null then 1 else 0 end as Rou_Ext,
+               (100 - poor_rssi) * 0.4::double + (100 - poor_phyrate) * 0.6::double as device_score
+        from (select p.serial_num, p.rowkey, p.rk_row_sn, p.station_mac, p.parent_id,
+                     p.avg_phyrate, p.poor_phyrate, p.weights, r.poor_rssi
+              from (select {KEYS}, parent_id, {rnd("avg_phyrate")} as avg_phyrate,
+                           {rnd("poor_phyrate")} as poor_phyrate,
+                           {rnd("label * 100 / sum(label) over ()")} as weights
+                    from (select *, case when avg_phyrate >= 20.718 then 1.0 else avg_phyrate / 20.718 end::double
+                                   as label from {{phy{suffix}}})) p
+              join {{rssi{suffix}}} r on {on_keys("p", "r", KEYS + ", parent_id")}) w
+        join {{everyone}} i on i.serial_num = w.serial_num
+        left join {{groups}} g on g.dg_rowkey = w.rk_row_sn and g.RouExt_mac = w.parent_id"""
+
+
 STEPS: dict[str, str] = {
     "lines": _LINE,
     "tel": f"""
@@ -316,24 +334,16 @@ STEPS: dict[str, str] = {
     **_kpi_steps("_p", "parsed"),
     **_kpi_steps("_q", "complete"),
     **_kpi_steps("_a", "parsed", KEYS + ", parent_id", 1),
+    "parsed_two": """
+        select * replace (case when substr(parent_id, 2)::bigint % 5 = 0 then 'P2' else 'P1' end as parent_id)
+        from {parsed}""",
+    **_kpi_steps("_ap", "parsed_two", KEYS + ", parent_id"),
     **_weights_b(""),
     **_weights_b("_p"),
     **_weights_c(""),
     **_weights_c("_q"),
-    "devices_a": f"""
-        select i.mdn, i.cust_id, w.*, g.RouExt_mac, g.dg_model, g.parent_mac, g.firmware,
-               case when g.parent_mac is not null then 1 else 0 end as Rou_Ext,
-               (100 - poor_rssi) * 0.4::double + (100 - poor_phyrate) * 0.6::double as device_score
-        from (select p.serial_num, p.rowkey, p.rk_row_sn, p.station_mac, p.parent_id,
-                     p.avg_phyrate, p.poor_phyrate, p.weights, r.poor_rssi
-              from (select {KEYS}, parent_id, {rnd("avg_phyrate")} as avg_phyrate,
-                           {rnd("poor_phyrate")} as poor_phyrate,
-                           {rnd("label * 100 / sum(label) over ()")} as weights
-                    from (select *, case when avg_phyrate >= 20.718 then 1.0 else avg_phyrate / 20.718 end::double
-                                   as label from {{phy_a}})) p
-              join {{rssi_a}} r on {on_keys("p", "r", KEYS + ", parent_id")}) w
-        join {{everyone}} i on i.serial_num = w.serial_num
-        left join {{groups}} g on g.dg_rowkey = w.rk_row_sn and g.RouExt_mac = w.parent_id""",
+    "devices_a": _devices_a("_a"),
+    "devices_ap": _devices_a("_ap"),
     "rollup_b": _rollup("weights_b_p", "parents_p", ROLLUP_B),
     "devices_b": """
         select *, (100 - poor_rssi) * 0.4::double + (100 - poor_phyrate) * 0.6::double as device_score
@@ -377,6 +387,9 @@ STEPS: dict[str, str] = {
     "training_all": _before_after("2024-01-01", "2024-01-15", 7, None),
     "training": f"""
         select *, {rnd("after_home_score - before_home_score")} as score_increment from {{training_all}}""",
+    "training_3_all": _before_after("2024-01-01", "2024-01-07", 3, None),
+    "training_3": f"""
+        select *, {rnd("after_home_score - before_home_score")} as score_increment from {{training_3_all}}""",
     "population": f"""
         select d.* rename (device_score as avg_device_score, lowest_n_scores as before_lowest_n_scores),
                before_home_score
@@ -448,7 +461,7 @@ def _buckets() -> str:
     share = rnd("count(*) * 100.0::double / sum(count(*)) over ()", 2)
     return f"""
         select range_label, count(*) as count, {share} as percentage_frequency
-        from (select case {' '.join(arms)} end as range_label from training) where range_label is not null
+        from (select case {' '.join(arms)} end as range_label from training where {RULE}) where range_label is not null
         group by range_label"""
 
 
@@ -491,7 +504,6 @@ _RESCORE = """
            [(event_type = 'purchase')::int] as Rou_Ext
     from (select *, json_extract_string(props, '$.k')::int as k from events)"""
 
-_WINDOW_NUMBERS = tuple(WINDOW_FEATURES)
 _EXACT = """
     select t.*, p.stationarity from tel t join (
       select {keys}, least(q[2] - 2 * (q[4] - q[2]), q[1]) as bound,
@@ -499,10 +511,6 @@ _EXACT = """
       from (select {keys}, quantile_cont(sdcd_signal_strength, [0.03, 0.1, 0.5, 0.9]) as q from tel group by {keys})
     ) p on {on} where sdcd_signal_strength >= bound""".format(keys=KEYS, on=on_keys("t", "p"))
 
-_POP_FEATURES = (
-    "poor_phyrate poor_rssi avg_phyrate avg_sig_strength_cat1 avg_sig_strength_cat2 before_home_score count volume"
-).split()
-
 ORACLE: dict[str, str] = {
     "telemetry_parse": ctes("parsed") + "select * from parsed",
     "telemetry_complete": ctes("complete") + "select * from complete",
@@ -720,10 +728,10 @@ ORACLE: dict[str, str] = {
         select serial_num, avg_phyrate, poor_phyrate, poor_rssi, count, score_increment from training
         where {RULE}""",
     "histogram": ctes("training")
-    + """
+    + f"""
         select b::int as bin, -20 + (b - 1) * 3.5::double as bin_low, -20 + b * 3.5::double as bin_high,
                (select count(*) from training
-                where score_increment between -20 and 50
+                where {RULE} and score_increment between -20 and 50
                   and least(floor((score_increment + 20) / 3.5::double)::int + 1, 20) = b) as count
         from range(1, 21) t(b)""",
     "label_sweep": ctes("training") + _labels(),
@@ -747,15 +755,72 @@ ORACLE: dict[str, str] = {
         from device_days""",
     "population_rows": ctes("population")
     + f"""
-        select serial_num, {", ".join(c for c in _POP_FEATURES if not c.startswith("avg_sig"))},
+        select serial_num, {", ".join(c for c in MODEL_FEATURES if not c.startswith("avg_sig"))},
                coalesce(avg_sig_strength_cat1, -60) as avg_sig_strength_cat1,
                coalesce(avg_sig_strength_cat2, -65) as avg_sig_strength_cat2
         from population where before_home_score < 100 and volume is not null""",
     "json_roundtrip": f"""
-        select o_orderkey, o_custkey as o_b_o_custkey, {rnd("o_totalprice")} as o_b_o_totalprice,
+        select o_orderkey, o_custkey as o_b_o_custkey, o_orderstatus as o_b_o_orderstatus,
+               {rnd("o_totalprice")} as o_b_o_totalprice, o_orderdate::date::varchar as o_b_o_orderdate,
                o_orderpriority as o_b_o_orderpriority from orders""",
-    "csv_roundtrip": """
-        select p_partkey::varchar as p_partkey, p_name, p_brand, p_type, p_size::varchar as p_size from part""",
+    "csv_roundtrip": f"""
+        select p_partkey::varchar as p_partkey, p_name, p_brand, p_type, p_size::varchar as p_size,
+               {rnd("p_retailprice")} as p_retailprice from part""",
+    "read_day_files": ctes("ev")
+    + f"""
+        select date::varchar as date, event_type, count(*) as count from ev
+        where {_in_days("2024-01-02", 4)} group by date, event_type""",
+    "overwrite_empty_day": ctes("ev")
+    + """
+        select date::varchar as date, count(*) as count from ev
+        where date not in (date '2024-01-03', date '2024-01-05') group by date""",
+    "overwrite_files": ctes("ev") + "select date::varchar as date, count(*) as count from ev group by date",
+    "window_dataset": ctes("training")
+    + """
+        select serial_num, score_increment, '2024-01-01' as before_date, '2024-01-08' as install_date,
+               '2024-01-15' as after_date, 7::int as window_days from training""",
+    "device_score_a_published": ctes("devices_ap")
+    + _rounded(
+        "devices_ap",
+        ("avg_phyrate", "poor_phyrate", "weights", "poor_rssi", "device_score"),
+        f"mdn, cust_id, {KEYS}, parent_id, RouExt_mac, dg_model, parent_mac, firmware, Rou_Ext",
+    ),
+    "cohort_counts_published": f"""
+        select distinct {SN.format("user_id")} as serial_num from events where user_id % 3 = 0""",
+    "rule_classifier_published": ctes("training")
+    + f"""
+        select count(*) as homes, count(*) filter (where {RULE_200}) as predicted,
+               {rnd(f"100.0::double * count(*) filter (where {RULE_200}) / count(*)", 2)} as predicted_pct,
+               {rnd(f"100.0::double * count(*) filter (where {RULE_200} and score_increment > 0)"
+                    f" / nullif(count(*) filter (where {RULE_200}), 0)", 2)} as improved_pct
+        from training""",
+    "rf_scores": ctes("population")
+    + f"""
+        select serial_num, case when {_all_there(f for f in MODEL_FEATURES if not f.startswith("avg_sig"))} then true end
+                 as scored
+        from population where before_home_score < 100 and volume is not null""",
+    "rf_metrics": ctes("training")
+    + f"""
+        select label, count(*) filter (where flag = label) as support, count(*) > 0 as measured
+        from (values (0), (1)) l(label), (select (score_increment > 0)::int as flag from training
+              where before_home_score > 50 and {_is_test("serial_num")}
+                and {_all_there(f for f in MODEL_FEATURES if not f.startswith("avg_sig"))})
+        group by label""",
+    "lr_scores": ctes("training")
+    + f"""
+        select serial_num, (score_increment > 0)::int as enhance_flag, {_is_test("serial_num")} as is_test,
+               case when {_all_there(SWEEP_FEATURES)} then true end as scored from training""",
+    "rf_population_share": ctes("population")
+    + f"""
+        select threshold, count(*) as homes from population, (values (0), (5), (10)) t(threshold)
+        where {_all_there(SWEEP_FEATURES)} group by threshold""",
+    "window_sweep": ctes("training", "training_3")
+    + f"""
+        select window_days, threshold, label, count(*) filter (where (score_increment > threshold)::int = label) as support
+        from (select 7::int as window_days, * from training union all by name
+              select 3::int as window_days, * from training_3),
+             (values (0), (5)) t(threshold), (values (0), (1)) l(label)
+        where {_is_test("serial_num")} and {_all_there(SWEEP_FEATURES)} group by window_days, threshold, label""",
     "parquet_overwrite_day": ctes("ev")
     + """
         select date::varchar as date, event_type, count(*) as count from ev

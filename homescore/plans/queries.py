@@ -274,6 +274,15 @@ def _scores_a(spark: SparkSession, sf: str) -> DataFrame:
     return score.device_scores_a(kpis, _groups(spark, sf), identity, kpi_rules=rules)
 
 
+def device_score_a_published(spark, sf):
+    """Variant A by its own minimum of readings, on readings gathered under two parents."""
+    part = F.substring("parent_id", 2, 20).cast("long")
+    parent = F.when(part % 5 == 0, "P2").otherwise("P1")
+    kpis = staging.stage(score.kpis_a(_parsed(spark, sf, False).withColumn("parent_id", parent)), "device-kpis")
+    identity = _identity(spark, sf, status=None, distinct=False)
+    return tidy(score.device_scores_a(kpis, _groups(spark, sf), identity))
+
+
 def _scores_b(spark: SparkSession, sf: str) -> DataFrame:
     kpis = staging.stage(kpi.device_kpis(_parsed(spark, sf, False)), "device-kpis")
     return score.device_scores_b(kpis, _groups(spark, sf), _identity(spark, sf))
@@ -406,6 +415,21 @@ def cohort_counts(spark, sf):
     return _count_cohort(spark, sf)
 
 
+def cohort_counts_published(spark, sf):
+    """One model on each of 7 days, two on each of 8: users stand for homes, some miss the rule by a day."""
+    users = A.table(spark, sf, "events").select("user_id").distinct()
+    day = F.explode(F.sequence(F.lit(0), F.lit(14))).alias("day")
+    two = (F.col("day") >= 7) | ((F.col("user_id") % 3 == 1) & (F.col("day") == 5))
+    models = F.when(two, F.array(F.lit("router"), F.lit("extender"))).otherwise(F.array(F.lit("router")))
+    rows = users.select("user_id", day).where(~((F.col("user_id") % 3 == 2) & (F.col("day") == 12)))
+    homes = rows.select(
+        A.serial(F.col("user_id")).alias("serial_num"),
+        F.date_add(F.lit("2024-03-03").cast("date"), F.col("day")).alias("date"),
+        F.explode(models).alias("dg_model_indiv"),
+    )
+    return cohort.cohort_by_counts(homes, "2024-03-10")
+
+
 def homes_with_one_model(spark, sf):
     return tidy(cohort.homes_with_row_count(A.home_days(spark, sf), lambda rows: rows == 1))
 
@@ -496,7 +520,7 @@ def report_model_extract(spark, sf):
 
 
 def increment_distribution(spark, sf):
-    return tidy(report.increment_distribution(_training(spark, sf)))
+    return tidy(report.increment_distribution(report.predicted_improved(_training(spark, sf), RULE)))
 
 
 def feature_bins(spark, sf):
@@ -507,13 +531,20 @@ def rule_classifier(spark, sf):
     return tidy(report.rule_summary(_training(spark, sf), RULE))
 
 
+def rule_classifier_published(spark, sf):
+    """The rule by its own count of readings, on homes with ten times as many device days."""
+    rule = ImprovementRule(RULE.avg_phyrate_below, RULE.poor_phyrate_above, RULE.poor_rssi_above)
+    return tidy(report.rule_summary(_training(spark, sf).withColumn("count", F.col("count") * 10), rule))
+
+
 def rule_selected(spark, sf):
     chosen = report.predicted_improved(_training(spark, sf), RULE)
     return tidy(chosen.select("serial_num", *SWEEP_FEATURES, "score_increment"))
 
 
 def histogram(spark, sf):
-    return tidy(report.histogram(_training(spark, sf), "score_increment", -20, 50, 20))
+    chosen = report.predicted_improved(_training(spark, sf), RULE)
+    return tidy(report.histogram(chosen, "score_increment", -20, 50, 20))
 
 
 # --- model ----------------------------------------------------------------------------------------
@@ -574,48 +605,55 @@ def _staged_training(spark: SparkSession, sf: str, count: int = WINDOW_DAYS, aft
 
 
 def rf_scores(spark, sf):
+    """Scored homes: whether each has a score, as one between 0 and 1."""
     _, scored = model.recommend(_staged_training(spark, sf), _population(spark, sf))
-    return scored
+    return scored.select("serial_num", F.col("extender_score").between(0, 1).alias("scored"))
 
 
 def rf_metrics(spark, sf):
     metrics, _ = model.recommend(_staged_training(spark, sf), _population(spark, sf))
-    return tidy(metrics)
+    return metrics.select("label", "support", F.col("accuracy").between(0, 1).alias("measured"))
 
 
 def lr_scores(spark, sf):
     split = model.with_split(model.enhance_label(_staged_training(spark, sf)))
     fitted = model.fit_logistic(split.where("NOT is_test"))
-    return tidy(model.score_population(fitted, split, [model.LABEL, "is_test"]))
+    scored = model.score_population(fitted, split, [model.LABEL, "is_test"])
+    return scored.select(
+        "serial_num", model.LABEL, "is_test", F.col("extender_score").between(0, 1).alias("scored")
+    )
 
 
 def rf_population_share(spark, sf):
-    return model.population_share(_staged_training(spark, sf), staging.stage(_population(spark, sf), "population"))
+    """Per threshold the homes predicted either way, which are all homes of the population."""
+    shares = model.population_share(_staged_training(spark, sf), staging.stage(_population(spark, sf), "population"))
+    return shares.select("threshold", (F.col("zeros") + F.col("ones")).alias("homes"))
 
 
 def window_sweep(spark, sf):
     trainings = {
         count: _staged_training(spark, sf, count, after) for count, after in ((3, "2024-01-07"), (7, AFTER_START))
     }
-    return tidy(model.window_sweep(trainings, thresholds=(0, 5)))
+    swept = model.window_sweep(trainings, thresholds=(0, 5))
+    return swept.select("window_days", "threshold", "label", "support")
 
 
 # --- files ----------------------------------------------------------------------------------------
 
 
 def json_roundtrip(spark, sf):
-    orders = A.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
-    nested = orders.select("o_orderkey", F.struct("o_custkey", "o_totalprice", "o_orderpriority").alias("o"))
+    orders = A.table(spark, sf, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    nested = orders.select("o_orderkey", F.struct(*[c for c in orders.columns if c != "o_orderkey"]).alias("o"))
     path = staging.new_path(spark, "json")
     sinks.write_table(nested, path, fmt="json")
     return tidy(reshape.flatten_structs(files.read_json(spark, path, nested.schema)))
 
 
 def csv_roundtrip(spark, sf):
-    part = A.table(spark, sf, "part").drop("p_retailprice")
+    part = A.table(spark, sf, "part")
     path = staging.new_path(spark, "csv")
     sinks.write_table(part, f"{path}/a/b", {"header": "true"}, fmt="csv")
-    return files.read_csv(spark, path, recursive=True)
+    return tidy(files.read_csv(spark, path, recursive=True).withColumn("p_retailprice", F.col("p_retailprice").cast("double")))
 
 
 def parquet_overwrite_day(spark, sf):
@@ -637,6 +675,42 @@ def read_day_folders(spark, sf):
     return tidy(rows.groupBy("date", "event_type").agg(F.count("*").alias("count")))
 
 
+def read_day_files(spark, sf):
+    """The same name in the folder of each day, as subscriber maps are delivered."""
+    path = staging.new_path(spark, "files")
+    for day in days.day_list("2024-01-02", 5):
+        rows = _event_days(spark, sf).where(F.col("date") == F.lit(day)).drop("date")
+        sinks.write_table(rows, f"{path}/{day}/map.csv", {"header": "true"}, fmt="csv")
+    read = files.read_day_folders(spark, path + "/{}/map.csv", "2024-01-01", 5, fmt="csv")
+    return tidy(read.groupBy("date", "event_type").agg(F.count("*").alias("count")))
+
+
+def overwrite_empty_day(spark, sf):
+    """Three days written again with rows for one of them: the other two end up empty."""
+    path = staging.new_path(spark, "emptied")
+    events = _event_days(spark, sf)
+    sinks.overwrite_days(events, path)
+    again = events.where(F.col("date") == "2024-01-04")
+    sinks.overwrite_days(again, path, days=["2024-01-03", "2024-01-04", "2024-01-05"])
+    return tidy(spark.read.parquet(path).groupBy("date").agg(F.count("*").alias("count")))
+
+
+def overwrite_files(spark, sf):
+    """Days written by a given number of tasks and read back."""
+    path = staging.new_path(spark, "sized")
+    sinks.overwrite_days(_event_days(spark, sf), path, files=2)
+    return tidy(spark.read.parquet(path).groupBy("date").agg(F.count("*").alias("count")))
+
+
+def window_dataset(spark, sf):
+    """A training set stored under the days of its window."""
+    path = staging.new_path(spark, "window")
+    rows = _training(spark, sf).select("serial_num", "score_increment")
+    sinks.overwrite_window(rows, path, "2024-01-08", WINDOW_DAYS)
+    names = ("before_date", "install_date", "after_date", "window_days")
+    return tidy(spark.read.parquet(path).select("serial_num", "score_increment", *names))
+
+
 def report_csv(spark, sf):
     """A subscriber report written as one CSV file and read back."""
     path = staging.new_path(spark, "report")
@@ -673,6 +747,7 @@ QUERIES: dict[str, Query] = {
         identity_left,
         topology_join,
         device_score_a,
+        device_score_a_published,
         device_score_b,
         device_score_c,
         home_score_a,
@@ -691,6 +766,7 @@ QUERIES: dict[str, Query] = {
         cohort_flags,
         cohort_flags_install,
         cohort_counts,
+        cohort_counts_published,
         homes_with_one_model,
         lowest_n,
         total_volume,
@@ -708,6 +784,7 @@ QUERIES: dict[str, Query] = {
         increment_distribution,
         feature_bins,
         rule_classifier,
+        rule_classifier_published,
         rule_selected,
         histogram,
         label_sweep,
@@ -727,6 +804,10 @@ QUERIES: dict[str, Query] = {
         csv_roundtrip,
         parquet_overwrite_day,
         read_day_folders,
+        read_day_files,
+        overwrite_empty_day,
+        overwrite_files,
+        window_dataset,
         report_csv,
     )
 }

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,13 +106,37 @@ def snapshot_or_fallback(
     return df.where(candidates & (F.col(column) == chosen.scalar()))
 
 
-def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that exist, asked of the file system that holds them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(conf).exists(target):
-            found.append(path)
-    return found
+def path_of(source: Column) -> Column:
+    """A file's path as Spark reports it, with its URI escapes undone."""
+    return F.try_url_decode(F.replace(source, F.lit("+"), F.lit("%2B")))
+
+
+def under(source: Column, path: str) -> Column:
+    """Whether a file is `path` or lies in that folder; schemes and hosts are left aside."""
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
+    return F.endswith(source, F.lit(plain)) | F.contains(source, F.lit(plain + "/"))
+
+
+def existing_paths(spark: SparkSession, pattern: str, names: Sequence[str]) -> list[str]:
+    """Of the paths that the names give in `pattern` ('.../{}/...'), those with files, from one listing."""
+    paths = [pattern.format(name) for name in names]
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern.format("*")).select("path")
+        file = path_of(F.col("path"))
+        which = F.coalesce(*[F.when(under(file, p), F.lit(p)) for p in paths])
+        found = {row[0] for row in files.select(which.alias("found")).where("found is not null").distinct().collect()}
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = set()
+    return [p for p in paths if p in found]
+
+
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at `path`, None before its first day is written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None

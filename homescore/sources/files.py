@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from homescore.sources.days import day_list, existing_paths
+from homescore.sources.days import day_list, existing_paths, path_of, under
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None, recursive: bool = False) -> DataFrame:
@@ -42,12 +42,12 @@ def read_day_folders(
     column: str = "date",
     day_format: str = "%Y-%m-%d",
 ) -> DataFrame:
-    """Days kept as one folder or file each ('.../{}'), read in a single scan.
+    """Days kept as one folder or file each ('.../{}' or '.../{}/name'), read in a single scan.
 
-    Adds the day taken from the path as `column`. Missing days are skipped or raise.
+    Adds the day as `column`, taken from the place of '{}' in the file's whole path. Missing days are skipped or raise.
     """
     wanted = {pattern.format(d.strftime(day_format)): d for d in day_list(start, count)}
-    found = existing_paths(spark, list(wanted))
+    found = existing_paths(spark, pattern, [d.strftime(day_format) for d in wanted.values()])
     if on_missing == "error" and len(found) < len(wanted):
         raise FileNotFoundError("no data at " + ", ".join(sorted(set(wanted) - set(found))))
     if not found:
@@ -56,11 +56,8 @@ def read_day_folders(
     if fmt == "csv":
         reader = reader.option("header", True)
     rows = reader.load(found)
-    source = F.col("_metadata.file_path")
-    day = F.lit(None).cast("date")
-    for path in found:
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        day = F.when(F.contains(source, F.lit(f"/{name}")), F.lit(wanted[path])).otherwise(day)
+    source = path_of(F.col("_metadata.file_path"))
+    day = F.coalesce(*[F.when(under(source, path), F.lit(wanted[path])) for path in found])
     return rows.withColumn(column, day)
 
 

@@ -42,8 +42,8 @@ def tables(spark, tmp_path_factory):
 
 
 def test_backfill_then_population(spark, tables):
-    assert daily.backfill_scores(spark, tables, DAY + timedelta(1), back=2) == [DAY, DAY - timedelta(1)]
-    assert daily.backfill_scores(spark, tables, DAY + timedelta(1), back=2) == []
+    assert daily.backfill_scores(spark, tables, DAY + timedelta(1), back=2).done == [DAY, DAY - timedelta(1)]
+    assert daily.backfill_scores(spark, tables, DAY + timedelta(1), back=2) == daily.Outcome()
     homes = spark.read.parquet(tables.home_score)
     columns = ("date", "serial_num", "mdn", "dg_model_indiv", "num_station", "home_score")
     expected = [(d, "SERIAL00001", "m1", m, 2, 100.0) for d in (DAY, DAY - timedelta(1)) for m in ("ext", "router")]
@@ -97,3 +97,50 @@ def test_recommendation_is_written(spark, tables, tmp_path):
     assert metrics.count() == 2
     scored = spark.read.parquet(paths.extender_score)
     assert scored.count() == 120 and scored.where("extender_score between 0 and 1").count() == 120
+
+
+def test_a_failing_day_stops_neither_other_days_nor_the_recommendation(spark, tables, tmp_path):
+    from tests.test_model import installs
+
+    data = installs(spark, 120)
+    paths = daily.Tables(**{
+        **tables.__dict__,
+        **{n: str(tmp_path / n) for n in ("home_score", "device_score", "install_list", "router_population", "extender_score")},
+    })
+    today = DAY + timedelta(1)
+    data.withColumn("date", F.lit(today - timedelta(60))).write.partitionBy("date").parquet(paths.install_list)
+    metrics, outcomes = daily.run_day(spark, paths, today, ModelFamilies(("router",)))
+    assert outcomes["scores"].done == [DAY, DAY - timedelta(1)]
+    assert len(outcomes["scores"].failed) == 7 and "snapshot" in outcomes["scores"].failed[DAY - timedelta(5)]
+    assert outcomes["population"].done == [DAY] and not outcomes["installs"].done
+    assert len(outcomes["installs"].failed) == 10
+    assert outcomes["recommendation"].failed.keys() == {DAY} and metrics is None
+    # nobody is of the family, so nothing can be learned; with the right family the same day works
+    data.withColumn("date", F.lit(DAY)).write.mode("append").partitionBy("date").parquet(paths.router_population + "2")
+    again = daily.Tables(**{**paths.__dict__, "router_population": paths.router_population + "2"})
+    metrics = daily.recommend_day(spark, again, DAY, ModelFamilies(("x",)))
+    assert metrics.count() == 2
+
+
+def test_archive_counts_as_written(spark, tables, tmp_path):
+    paths = daily.Tables(**{**tables.__dict__, "home_score": str(tmp_path / "h"), "device_score": str(tmp_path / "d")})
+    archive = str(tmp_path / "old")
+    spark.createDataFrame([(DAY, 1)], "date date, n int").write.partitionBy("date").parquet(archive)
+    assert daily.backfill_scores(spark, paths, DAY + timedelta(1), back=2, archive=archive).done == [DAY - timedelta(1)]
+
+
+def test_feature_and_training_jobs(spark, tables, tmp_path):
+    daily.features_day(spark, tables.station_history, str(tmp_path / "f"), DAY)
+    assert spark.read.parquet(str(tmp_path / "f")).where(F.col("date") == F.lit(DAY)).count() == 2
+    names = ("avg_phyrate poor_phyrate poor_rssi weights stationarity volume"
+             " avg_sig_strength_cat1 avg_sig_strength_cat2 avg_sig_strength_cat3").split()
+    days = [(DAY + timedelta(k), [int(k >= 0)]) for k in range(-7, 14)]
+    devices = spark.createDataFrame([("h", d, f) for d, f in days], "serial_num string, date date, Rou_Ext array<int>")
+    devices = devices.select("*", F.lit(70.0).alias("device_score"), *[F.lit(1.0).alias(n) for n in names])
+    homes = devices.select("serial_num", "date", F.lit(80.0).alias("home_score"))
+    paths = daily.Tables(**{**tables.__dict__, "home_score": str(tmp_path / "h"), "device_score": str(tmp_path / "d")})
+    homes.write.partitionBy("date").parquet(paths.home_score)
+    devices.write.partitionBy("date").parquet(paths.device_score)
+    daily.training_dataset(spark, paths, str(tmp_path / "t"), DAY)
+    out = spark.read.parquet(str(tmp_path / "t"))
+    assert rows(out, "serial_num", "install_date", "window_days", "count") == [("h", DAY, 7, 7)]

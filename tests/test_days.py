@@ -82,3 +82,18 @@ def test_staged_table_cuts_lineage(spark, daily):
 def test_union_by_name(spark, daily):
     other = daily.select("n", "date")
     assert files.union_all([daily, other]).count() == 10
+
+
+def test_days_are_told_apart_by_the_whole_path(spark, tmp_path):
+    for day, n in (("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-02 old", 9)):
+        spark.range(n).write.parquet(str(tmp_path / "a b+c" / day / "map.parquet"))
+    read = files.read_day_folders(spark, str(tmp_path / "a b+c") + "/{}/map.parquet", "2024-01-01", 3)
+    assert rows(read.groupBy("date").count()) == [(date(2024, 1, 1), 1), (date(2024, 1, 2), 2)]
+
+
+def test_a_day_without_rows_ends_up_empty(spark, daily, tmp_path):
+    path = str(tmp_path / "e")
+    sinks.overwrite_days(daily, path)
+    sinks.overwrite_days(daily.where("false"), path, days=["2024-01-02"])
+    assert rows(spark.read.parquet(path), "n") == [(1,), (4,), (9,)]
+    assert D.table_or_none(spark, str(tmp_path / "none")) is None

@@ -69,3 +69,15 @@ def test_population_rows_fill_and_drop(spark):
     df = installs(spark, 20).withColumn("volume", F.when(F.col("serial_num") == "h1", None).otherwise(F.col("volume")))
     out = {r["serial_num"]: r for r in model.population_rows(df).collect()}
     assert "h1" not in out and out["h0"]["avg_sig_strength_cat1"] == -60 and out["h0"]["avg_sig_strength_cat2"] == -65
+
+
+@pytest.mark.parametrize("name", ["volume", "poor_rssi", "count", "before_home_score", "avg_sig_strength_cat1"])
+def test_a_missing_feature_neither_ends_training_nor_scoring(spark, name):
+    data = installs(spark, 150)
+    gap = data.withColumn(name, F.when(F.col("serial_num") == "h7", None).otherwise(F.col(name)))
+    metrics, scored = model.recommend(gap, gap)
+    assert metrics.count() == 2
+    got = {r.serial_num: r.extender_score for r in scored.collect()}
+    assert all(v is not None for k, v in got.items() if k != "h7")
+    if name in ("poor_rssi", "count"):
+        assert got["h7"] is None
