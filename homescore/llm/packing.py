@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from homescore.llm.common import table
-from homescore.llm.tokens import word_ids
+from homescore.llm.tokens import CACHE_PIECES, word_ids
 
 END_ID = 1
 #: Examples weighed against each other at once, and ids held for them.
@@ -120,6 +120,7 @@ def pack(
     end_id: int = END_ID,
     loss_chars: str | None = None,
     with_ids: bool = False,
+    cache_pieces: int = CACHE_PIECES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -143,7 +144,7 @@ def pack(
     schema = pa.schema([(f.name, k) for f, k in zip(fields, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = word_ids(path, spaced), Packer(limits)
+        ids_of, packer = word_ids(path, spaced, cache_pieces), Packer(limits)
         first = TaskContext.get().partitionId() << 36
         end = np.array([end_id], "<u2").tobytes()
         held: list[tuple[int | None, np.ndarray, int]] = []
@@ -192,4 +193,4 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids of the byte-level vocabulary."""
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache_pieces=1_500_000)

@@ -15,7 +15,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _RUN_OF_SPACES = re.compile(r"\s\s")
 #: Of a text without such runs: a line end, or a word with the space before it.
 _SPACED_PIECE = re.compile(r"\n| ?[^ \n]+| ")
-CACHE_PIECES = 600_000
+#: Pieces a worker remembers, some 200 bytes each; beyond that it starts anew.
+CACHE_PIECES = 300_000
 
 
 class WordIds:
@@ -25,10 +26,11 @@ class WordIds:
     `spaced=True`: byte-level pieces that carry the space before a word.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, most: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.cache = Tokenizer.from_file(path), spaced, {}
+        self.most = most
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need 16 bits")
 
@@ -55,18 +57,18 @@ class WordIds:
             return b"".join(map(cache.__getitem__, pieces))
         except KeyError:
             pass
-        if len(cache) > CACHE_PIECES:
+        if len(cache) > self.most:
             cache.clear()
         new = [p for p in set(pieces) if p not in cache]
         cache.update(zip(new, self._encode(new if self.spaced else [str(p, "utf-8") for p in new])))
         return b"".join(map(cache.__getitem__, pieces))
 
 
-_KNOWN: dict[tuple[str, bool], WordIds] = {}
+_KNOWN: dict[tuple[str, bool, int], WordIds] = {}
 
 
-def word_ids(path: str, spaced: bool) -> WordIds:
+def word_ids(path: str, spaced: bool, most: int = CACHE_PIECES) -> WordIds:
     """One per worker process, so that its cache serves all tasks of the process."""
-    if (path, spaced) not in _KNOWN:
-        _KNOWN[path, spaced] = WordIds(path, spaced)
-    return _KNOWN[path, spaced]
+    if (path, spaced, most) not in _KNOWN:
+        _KNOWN[path, spaced, most] = WordIds(path, spaced, most)
+    return _KNOWN[path, spaced, most]
