@@ -29,11 +29,11 @@ MAGIC = b"ACM1"
 
 
 def _ranges(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """First id and width of each range: 32 wide up to 512, 256 up to 4096, then 1024."""
+    """First id and width of each range: 64 wide up to 512, 512 up to 4096, then 1024."""
     first, width, at = [], [], 0
     while at < vocabulary:
         first.append(at)
-        width.append(32 if at < 512 else 256 if at < 4096 else 1024)
+        width.append(64 if at < 512 else 512 if at < 4096 else 1024)
         at += width[-1]
     return np.array(first, np.int64), np.array(width, np.int64)
 
@@ -43,6 +43,7 @@ class _Model:
 
     def __init__(self, n: int, vocabulary: int):
         self.first, self.width = _ranges(vocabulary)
+        self.range_of = np.repeat(np.arange(len(self.first)), self.width)
         self.lane = np.arange(n)
         self.below = np.tile(np.concatenate([self.first, [self.first[-1] + self.width[-1]]]).astype(np.int32), (n, 1))
         self.recent = np.zeros((n, len(self.first)), np.int64)
@@ -78,7 +79,7 @@ class _Model:
 
     def _base(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where an id's order-0 frequency begins, and the frequency."""
-        self.at = at = np.searchsorted(self.first, ids, "right") - 1
+        self.at = at = self.range_of[ids]
         low, weight, share = self._parts(at)
         inside, recent = ids - self.first[at], self.recent[self.lane, at]
         return low + inside * weight + share * (recent < inside), weight + share * (recent == inside)
@@ -103,7 +104,7 @@ class _Model:
             end = begin + size + mass
             found = np.where(known & (v >= begin) & (v < end) & (found < 0), p, found)
             v = v - mass * (known & (v >= end))
-        at = np.minimum((self.below <= v[:, None]).sum(1) - 1, len(self.first) - 1)
+        at = np.minimum(np.count_nonzero(self.below <= v.astype(np.int32)[:, None], axis=1) - 1, len(self.first) - 1)
         low, weight, share = self._parts(at)
         v, recent = v - low, self.recent[self.lane, at]
         begin = recent * weight

@@ -23,7 +23,7 @@ _FILE = "part int, chunk int, first long, n_ids long, doc_ids array<long>, n_tok
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, *, spaced: bool = False, vocabulary: int = 49408, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, *, spaced: bool = False, vocabulary: int = 49408, end_id: int = END_ID, cache_pieces: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write every document's ids and an end id to `path`.
 
     A null or empty text is its end id; an empty table writes no chunk; rows that repeat a doc_id
@@ -35,7 +35,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, spaced: bool = Fals
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part = word_ids(tokenizer, spaced), TaskContext.get().partitionId()
+        ids_of, part = word_ids(tokenizer, spaced, cache_pieces), TaskContext.get().partitionId()
         end = np.array([end_id], "<u2").tobytes()
         chunk, first, held, doc_ids, lengths, size = 0, 0, [], [], [], 0
 
