@@ -6,6 +6,8 @@ routers and extenders, and users and their events for homes and daily device row
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,10 +66,20 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SCORED_FIELDS = "station_mac parent_id connect_type tx_link_rate link_rate signal_strength diff_bs diff_br".split()
+# The leaves that scoring reads.
+SCORED_FIELDS = (
+    "station_mac",
+    "parent_id",
+    "connect_type",
+    "tx_link_rate",
+    "link_rate",
+    "signal_strength",
+    "diff_bs",
+    "diff_br",
+)
 
 
-def station_history(spark: SparkSession, sf_dir: str, fields: list[str] | None = None) -> DataFrame:
+def station_history(spark: SparkSession, sf_dir: str, fields: Sequence[str] | None = None) -> DataFrame:
     """Nested readings as text, with wired devices, unreadable rates and missing signals among them.
 
     `fields` names the leaves to build; a stored table would leave the others unread.

@@ -11,6 +11,7 @@ HOME_KEYS = ("serial_num", "mdn", "cust_id")
 DEVICE_GROUP_KEYS = HOME_KEYS + ("rowkey", "rk_row_sn", "station_mac")
 TOPOLOGY_SETS = ("RouExt_mac", "dg_model", "parent_mac", "firmware", "parent_id", "Rou_Ext")
 
+# The metrics of the device-feature table.
 FEATURE_METRICS = (
     "sdcd_tx_link_rate",
     "sdcd_link_rate",
@@ -27,6 +28,7 @@ FEATURE_METRICS = (
     "diff_rx_packets",
 )
 
+# The features averaged over a window of days.
 WINDOW_FEATURES = (
     "avg_phyrate",
     "poor_phyrate",
@@ -40,6 +42,7 @@ WINDOW_FEATURES = (
     "avg_sig_strength_cat3",
 )
 
+# The features of the sweep and of the deployed model.
 SWEEP_FEATURES = ("avg_phyrate", "poor_phyrate", "poor_rssi", "count")
 MODEL_FEATURES = (
     "poor_phyrate",
@@ -52,7 +55,7 @@ MODEL_FEATURES = (
     "volume",
 )
 
-# Bins of the per-feature increment report and edges of the increment report.
+# Bins of the per-feature increment report and edges of the increment report.
 FEATURE_BINS = {
     "avg_phyrate": (0, 200, 300, 400, 500, 2400),
     "poor_phyrate": (0, 2, 4, 6, 10, 20, 30, 100),

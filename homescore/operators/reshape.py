@@ -57,19 +57,18 @@ def rename_and_cast(df: DataFrame, mapping: Mapping[str, tuple[str, str]]) -> Da
     """Add a column per entry of {source: (type, new name)}; values that do not fit are NULL."""
     from homescore.functions.parsing import lenient_long
 
+    # All sources in one selection, so the frame is analysed once.
+    types = dict(zip(mapping, (f.dataType for f in df.select(*mapping).schema)))
+
     def converted(source: str, dtype: str) -> Column:
         value = F.col(source)
-        if dtype in ("long", "bigint") and isinstance(_type_of(df, source), T.StringType):
+        if dtype in ("long", "bigint") and isinstance(types[source], T.StringType):
             return lenient_long(value)
         return value.try_cast(dtype)
 
     return df.withColumns({name: converted(source, dtype) for source, (dtype, name) in mapping.items()})
 
 
-def _type_of(df: DataFrame, column: str) -> T.DataType:
-    return df.select(column).schema[0].dataType
-
-
 def cast_all_but(df: DataFrame, keep: Iterable[str], dtype: str = "double") -> DataFrame:
     """Every column cast to `dtype` except those in `keep`."""
     keep = set(keep)

@@ -10,6 +10,7 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from homescore.config import ModelFamilies
 from homescore.operators import dataset, model, score
@@ -19,6 +20,7 @@ from homescore.operators.kpi import device_kpis
 from homescore.operators.reshape import stamp_date
 from homescore.operators.telemetry import metric_telemetry, telemetry
 from homescore.operators.topology import device_groups, subscriber_identity
+from homescore.schemas import DEVICE_GROUPS, STATION_HISTORY, SUBSCRIBER_MAP, dated
 from homescore.sources import days as D
 from homescore.sources.sinks import overwrite_days, overwrite_window
 from homescore.sources.staging import stage
@@ -38,8 +40,8 @@ class Tables:
     extender_score: str
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def _table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    return (spark.read if schema is None else spark.read.schema(dated(schema))).parquet(path)
 
 
 def score_day(
@@ -52,9 +54,9 @@ def score_day(
 ) -> None:
     """Variant C scores of `day`. Readings of a day are delivered under the next day's date."""
     delivered = D.as_day(day) + timedelta(1)
-    history = _table(spark, tables.station_history).where(F.col("date") == F.lit(delivered))
-    mapping = _table(spark, tables.subscriber_map)
-    groups = _table(spark, tables.device_groups)
+    history = _table(spark, tables.station_history, STATION_HISTORY).where(F.col("date") == F.lit(delivered))
+    mapping = _table(spark, tables.subscriber_map, SUBSCRIBER_MAP)
+    groups = _table(spark, tables.device_groups, DEVICE_GROUPS)
     mapped_on = D.latest_day(mapping, delivered, identity_back, 1)
     grouped_on = D.latest_day(groups, delivered, groups_back)
     located = score.located_devices_c(
@@ -110,7 +112,7 @@ def backfill_scores(
 def features_day(spark: SparkSession, history: str, path: str, day: date | str) -> None:
     """Mean and deviation of every metric per device of a day, from the readings delivered a day later."""
     delivered = D.as_day(day) + timedelta(1)
-    readings = metric_telemetry(_table(spark, history).where(F.col("date") == F.lit(delivered)))
+    readings = metric_telemetry(_table(spark, history, STATION_HISTORY).where(F.col("date") == F.lit(delivered)))
     overwrite_days(stamp_date(device_features(readings), str(day)), path, days=[day])
 
 
@@ -120,7 +122,7 @@ def training_dataset(
     """Before / after rows of the homes that got an extender around `install`, named by their window."""
     first = D.as_day(install)
     devices, homes = _table(spark, tables.device_score), _table(spark, tables.home_score)
-    members = rolling_cohort(devices, first, window)
+    members = stage(rolling_cohort(devices, first, window), "cohort")
     before, after = first - timedelta(window), first + timedelta(window)
     rows = dataset.before_after_set(devices, homes, members, before, after, window)
     overwrite_window(rows, path, first, window)

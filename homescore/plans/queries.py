@@ -455,7 +455,7 @@ def agg_home_window(spark, sf):
 
 def training_set(spark, sf):
     devices, homes = A.device_days(spark, sf), A.home_days(spark, sf)
-    members = cohort.rolling_cohort(devices, COHORT_INSTALL, COHORT_DAYS)
+    members = staging.stage(cohort.rolling_cohort(devices, COHORT_INSTALL, COHORT_DAYS), "cohort")
     return tidy(
         dataset.before_after_set(devices, homes, members, "2024-01-07", "2024-01-13", COHORT_DAYS)
     )

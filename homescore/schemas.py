@@ -1,4 +1,4 @@
-"""Explicit schemas of the input and derived tables."""
+"""Explicit schemas of the input tables."""
 
 from __future__ import annotations
 
@@ -8,17 +8,34 @@ STATION_ROOT = "Station_Data_connect_data"
 GROUP_ROOT = "Group_Data_sys_info"
 
 
-def _fields(names: str, dtype: T.DataType) -> list[T.StructField]:
-    return [T.StructField(name, dtype) for name in names.split()]
-
-
-STATION = T.StructType(
-    _fields(
-        "station_mac parent_id connect_type tx_link_rate link_rate signal_strength snr airtime_util"
-        " bw channel tx_packets rx_packets diff_tx_packets diff_rx_packets diff_bs diff_br connect_state",
-        T.StringType(),
-    )
-)
+def _texts(names: tuple[str, ...]) -> list[T.StructField]:
+    return [T.StructField(name, T.StringType()) for name in names]
+
+
+# The fields of the inputs.
+STATION_FIELDS = (
+    "station_mac",
+    "parent_id",
+    "connect_type",
+    "tx_link_rate",
+    "link_rate",
+    "signal_strength",
+    "snr",
+    "airtime_util",
+    "bw",
+    "channel",
+    "tx_packets",
+    "rx_packets",
+    "diff_tx_packets",
+    "diff_rx_packets",
+    "diff_bs",
+    "diff_br",
+    "connect_state",
+)
+GROUP_FIELDS = ("mac", "model", "parent_mac", "fw")
+MAP_FIELDS = ("mdn_5g", "serialnumber", "cust_id", "status")
+
+STATION = T.StructType(_texts(STATION_FIELDS))
 STATION_HISTORY = T.StructType(
     [
         T.StructField("rowkey", T.StringType()),
@@ -27,7 +44,7 @@ STATION_HISTORY = T.StructType(
     ]
 )
 
-GROUP_MEMBER = T.StructType(_fields("mac model parent_mac fw", T.StringType()))
+GROUP_MEMBER = T.StructType(_texts(GROUP_FIELDS))
 DEVICE_GROUPS = T.StructType(
     [
         T.StructField("rowkey", T.StringType()),
@@ -35,66 +52,9 @@ DEVICE_GROUPS = T.StructType(
     ]
 )
 
-SUBSCRIBER_MAP = T.StructType(_fields("mdn_5g serialnumber cust_id status", T.StringType()))
-
-DEVICE_DETAIL = T.StructType(
-    _fields("date serial_num mdn cust_id rowkey rk_row_sn station_mac firmware", T.StringType())
-    + [
-        T.StructField("Rou_Ext", T.ArrayType(T.IntegerType())),
-        T.StructField("dg_model", T.ArrayType(T.StringType())),
-    ]
-    + _fields("avg_phyrate poor_phyrate poor_rssi score weights stationarity", T.DoubleType())
-    + _fields("count_rssi_drop count_rssi_ori", T.LongType())
-)
+SUBSCRIBER_MAP = T.StructType(_texts(MAP_FIELDS))
 
-_IDENTITY = _fields("serial_num mdn cust_id", T.StringType())
-_MODEL_SET = T.StructField("dg_model", T.ArrayType(T.ArrayType(T.StringType())))
-_FLAG_SET = T.StructField("Rou_Ext", T.ArrayType(T.ArrayType(T.IntegerType())))
 
-DEVICE_SCORE = T.StructType(
-    _IDENTITY
-    + _fields("rowkey rk_row_sn station_mac", T.StringType())
-    + _fields(
-        "avg_phyrate poor_phyrate stationarity volume weights poor_rssi"
-        " avg_sig_strength_cat1 avg_sig_strength_cat2 avg_sig_strength_cat3",
-        T.DoubleType(),
-    )
-    + [
-        T.StructField(name, T.ArrayType(T.StringType()))
-        for name in ("RouExt_mac", "dg_model", "parent_mac", "firmware", "parent_id")
-    ]
-    + [
-        T.StructField("Rou_Ext", T.ArrayType(T.IntegerType())),
-        T.StructField("device_score", T.DoubleType()),
-        T.StructField("date", T.DateType()),
-    ]
-)
-
-HOME_SCORE = T.StructType(
-    _IDENTITY
-    + [T.StructField("num_station", T.LongType())]
-    + _fields("poor_rssi poor_phyrate home_score", T.DoubleType())
-    + [_MODEL_SET, _FLAG_SET]
-    + [T.StructField("dg_model_indiv", T.StringType()), T.StructField("date", T.DateType())]
-)
-
-ROUTER_POPULATION = T.StructType(
-    [T.StructField("serial_num", T.StringType())]
-    + _fields(
-        "avg_phyrate poor_phyrate poor_rssi avg_device_score weights stationarity volume"
-        " avg_sig_strength_cat1 avg_sig_strength_cat2 avg_sig_strength_cat3"
-        " before_lowest_n_scores total_volume before_home_score",
-        T.DoubleType(),
-    )
-    + [T.StructField("count", T.LongType())]
-)
-
-EXTENDER_SCORE = T.StructType(
-    [T.StructField("serial_num", T.StringType())]
-    + _fields(
-        "poor_phyrate poor_rssi avg_phyrate avg_sig_strength_cat1 avg_sig_strength_cat2 before_home_score"
-        " volume extender_score",
-        T.DoubleType(),
-    )
-    + [T.StructField("count", T.LongType())]
-)
+def dated(schema: T.StructType) -> T.StructType:
+    """The schema with the day that tables are partitioned by."""
+    return T.StructType([*schema.fields, T.StructField("date", T.DateType())])
