@@ -134,9 +134,12 @@ def repeated_blocks(keyed: DataFrame, window: int) -> DataFrame:
         raise ValueError("a block's windows are bits of a long: take 1 to 60 words")
     blocks = stage(reference_blocks(keyed, window), "blocks")
     one = (F.min("b1") == F.max("b1")) & (F.min("b2") == F.max("b2"))
-    again = blocks.groupBy("seed").agg(F.count("*").alias("times"), (~one).alias("mixed")).where("times > 1").drop("times")
+    # Tables that a join looks up are written first: joined as they leave their aggregation, they would
+    # fix how the other side is dealt, and Spark could not split a seed or block with very many copies.
+    again = blocks.groupBy("seed").agg(F.count("*").alias("times"), (~one).alias("mixed"))
+    again = stage(again.where("times > 1").drop("times"), "seeds")
     met = stage(blocks.join(again, "seed"), "met")
-    discard(blocks)
+    discard(blocks, again)
 
     key = ["seed", "b1", "b2"]
     texts = stage(
@@ -145,18 +148,20 @@ def repeated_blocks(keyed: DataFrame, window: int) -> DataFrame:
     )
     windows = stage(_boundary_windows(keyed, texts.where("mixed"), window), "windows")
     several = (F.max("c") > 1) | (F.min("b1") != F.max("b1")) | (F.min("b2") != F.max("b2"))
-    found = windows.groupBy("w1", "w2").agg(several.alias("several")).where("several").drop("several")
+    found = stage(windows.groupBy("w1", "w2").agg(several.alias("several")).where("several").drop("several"), "repeated")
     partly = windows.join(found, ["w1", "w2"]).groupBy(*key).agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("bits"))
     every = F.expr("shiftleft(1L, n) - 1")
     source = F.when(F.col("c") > 1, F.struct(F.col("k1").alias("k1"), F.col("k2").alias("k2"), F.col("s").alias("s")))
-    bits = (
+    bits = stage(
         texts.join(partly, key, "left")
         .select(*key, F.when(F.col("c") > 1, every).otherwise(F.col("bits")).alias("bits"), source.alias("source"))
-        .where("bits is not null")
+        .where("bits is not null"),
+        "bits",
     )
-    found = stage(met.select(*key, *_KEY, "s").join(bits, key).select(*_KEY, "s", "bits", "source"), "spans")
-    discard(met, texts, windows)
-    return found
+    discard(texts, windows, found)
+    spans = stage(met.select(*key, *_KEY, "s").join(bits, key).select(*_KEY, "s", "bits", "source"), "spans")
+    discard(met, bits)
+    return spans
 
 
 def factors(blocks: list[dict], window: int) -> list[tuple[int, int]]:
