@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from homescore.llm.common import id_text, table
 
 MARK = "▁"
-CACHE_WORDS, CACHE_PAIRS = 600_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 1_200_000, 1_000_000
 _FALLBACK = 1e6
 
 
@@ -56,11 +56,9 @@ class Transducer:
             raise ValueError("the model has no byte fallback")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece of the model crosses words")
-        self.arcs: dict[str, set[int]] = {}  # lengths of the pieces by first character
-        for p in self.ids:
-            self.arcs.setdefault(p[0], set()).add(len(p))
-        self.lengths = {c: sorted(n) for c, n in self.arcs.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.pairs: dict[str, dict[str, bool]] = {}  # by a piece, those it may follow
+        self.n_pairs = 0
         self.runs: dict[int, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -89,42 +87,52 @@ class Transducer:
             offer(i)
         return [s for s in symbols if s]
 
-    def may_follow(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
+    def _learn_pair(self, before: dict[str, bool], a: str, b: str) -> bool:
+        self.n_pairs += 1
+        if self.n_pairs > CACHE_PAIRS:
+            self.n_pairs = 0
+            for known in self.pairs.values():
+                known.clear()
+        before[a] = found = self.merged(a + b) == [a, b]
+        return found
 
     def path(self, text: str) -> list[str]:
         """Pieces of the path of least weight through the lattice of a text."""
-        n = len(text)
-        # of each place: the pieces that end there, with the least weight up to them and the piece before
-        ends: list[dict[str, tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
+        n, weight, prefixes, pairs = len(text), self.weight, self.prefixes, self.pairs
+        # states of each place: the piece that ends there, the least weight up to it, the state before
+        states: list[list[tuple[str, float, tuple | None]]] = [[] for _ in range(n + 1)]
         for at in range(n):
-            if at and not ends[at]:
+            here = states[at]
+            if at and not here:
                 continue
-            c = text[at]
-            pieces = [p for k in self.lengths.get(c, ()) if (p := text[at : at + k]) in self.weight and len(p) == k]
-            if c not in self.weight:
-                pieces.append(c)
-            for p in pieces:
-                arc, best = self.weight.get(p, _FALLBACK), None
+            for end in range(at + 1, n + 1):
+                p = text[at:end]
+                if p not in prefixes and end > at + 1:
+                    break
+                arc = weight.get(p)
+                if arc is None:
+                    if end > at + 1:
+                        continue
+                    arc = _FALLBACK
                 if at == 0:
-                    best = (arc, None)
-                for q, so_far in ends[at].items():
-                    if (best is None or so_far[0] + arc < best[0]) and self.may_follow(q, p):
-                        best = (so_far[0] + arc, (q, so_far))
+                    states[end].append((p, arc, None))
+                    continue
+                best, known = None, pairs.get(p)
+                if known is None:
+                    known = pairs[p] = {}
+                for state in here:
+                    if best is None or state[1] < best[1]:
+                        ok = known.get(state[0])
+                        if ok or ok is None and self._learn_pair(known, state[0], p):
+                            best = state
                 if best is not None:
-                    ends[at + len(p)][p] = best
+                    states[end].append((p, best[1] + arc, best))
         if not n:
             return []
-        piece, state = min(ends[n].items(), key=lambda x: x[1][0])
-        out = [piece]
-        while state[1] is not None:
-            piece, state = state[1]
-            out.append(piece)
+        state, out = min(states[n], key=lambda x: x[1]), []
+        while state is not None:
+            out.append(state[0])
+            state = state[2]
         return out[::-1]
 
     def _bytes_of(self, pieces: list[str]) -> bytes:
