@@ -1,10 +1,11 @@
-"""The package's queries, and SQL for those that SQL can express on whole tables."""
+"""The package's queries, and their SQL where there is any."""
 
 from __future__ import annotations
 
 from homescore.llm.embedding_dedup import op9_hnsw_near_vectors
 from homescore.llm.language import op7_hyperdimensional_language
 from homescore.llm.near_dedup import op2_lsh_forest_near_dedup
+from homescore.llm.oracle import ORACLE
 from homescore.llm.packing import op6_vector_packing
 from homescore.llm.quality_model import op8_subword_quality
 from homescore.llm.quality_rules import op10_llr_quality_rules
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_llr_quality_rules": op10_llr_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -266,4 +266,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op1_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 35-word windows of all documents."""
-    return dedup_substrings(table(spark, sf_dir, "documents")).drop("factors")
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("n_factors", "factors")
