@@ -27,7 +27,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
 _IDENTIFIER_PARTS = re.compile(r"[-_/+=]+")
-_WORD_THEN_NUMBER = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+[0-9]{0,8}|[0-9]{1,8})")
+# possessive, so that a run of letters is read in one way only, in time linear in its length
+_WORD_THEN_NUMBER = re.compile(r"(?:(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+)++[0-9]{0,8}+|[0-9]{1,8}+)")
 
 
 @dataclass(frozen=True)

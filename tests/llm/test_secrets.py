@@ -2,6 +2,8 @@
 
 import hashlib
 import string
+import subprocess
+import sys
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -108,3 +110,10 @@ def test_redact(spark):
     got = {r.doc_id: r for r in S.redact(frame(spark), RANKS).collect()}
     assert got[0].text is None and got[2].text == TEXTS[2] and got[5].spans == "z"
     assert got[8].text == "key [SECRET] end" and got[11].text.endswith("x [SECRET]")
+
+
+def test_long_runs_of_letters_take_linear_time():
+    # in a process of its own: a pattern that backtracks holds the interpreter and cannot be stopped from inside
+    code = "from homescore.llm.secrets import is_known; print(is_known('acgt' * 25000 + '1b'), is_known('ab' * 50000 + '1'))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=60, check=True)
+    assert done.stdout.split() == ["False", "True"]
