@@ -31,11 +31,18 @@ _IDENTIFIER_PARTS = re.compile(r"[-_/+=]+")
 _WORD_THEN_NUMBER = re.compile(r"(?:(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+)++[0-9]{0,8}+|[0-9]{1,8}+)")
 
 
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
 @dataclass(frozen=True)
 class RandomRules:
-    """A candidate has a digit and a letter; it is random below so many characters a token."""
+    """A candidate is random below so many characters a token, unless it is a digest, a UUID or a name.
+
+    A name is of words and short numbers, its words of at least so many letters a token.
+    """
 
     most_chars_per_token: float = 1.9
+    least_letters_per_token: float = 2.5
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -50,9 +57,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def is_known(value: str) -> bool:
-    """Digests, UUIDs, and names made of words and short numbers."""
-    if _DIGEST.fullmatch(value) or _UUID.fullmatch(value):
-        return True
+    """Digests and UUIDs."""
+    return bool(_DIGEST.fullmatch(value) or _UUID.fullmatch(value))
+
+
+def is_name_like(value: str) -> bool:
+    """Built as a name is, of runs of letters and short numbers, be the letters words or not."""
     return all(not part or _WORD_THEN_NUMBER.fullmatch(part) for part in _IDENTIFIER_PARTS.split(value))
 
 
@@ -66,10 +76,17 @@ class SecretScanner:
         self.encoding = tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.rules = rules
 
+    def tokens(self, value: str) -> int:
+        return len(self.encoding.encode_ordinary(value))
+
     def is_random(self, value: str) -> bool:
-        if value.isalpha() or not any(c.isalpha() for c in value) or not any(c.isdigit() for c in value) or is_known(value):
+        if len(value) >= self.rules.most_chars_per_token * self.tokens(value) or is_known(value):
             return False
-        return len(value) < self.rules.most_chars_per_token * len(self.encoding.encode_ordinary(value))
+        return not is_name_like(value) or not self.has_good_words(value)
+
+    def has_good_words(self, value: str) -> bool:
+        words = _WORD.findall(value)
+        return sum(map(len, words)) >= self.rules.least_letters_per_token * sum(map(self.tokens, words))
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """All spans by start, then kind. A random string inside a base span is not listed again."""

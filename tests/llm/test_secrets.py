@@ -1,6 +1,7 @@
 """Secret scans against a plain reading of the patterns."""
 
 import hashlib
+import random
 import string
 import subprocess
 import sys
@@ -114,6 +115,22 @@ def test_redact(spark):
 
 def test_long_runs_of_letters_take_linear_time():
     # in a process of its own: a pattern that backtracks holds the interpreter and cannot be stopped from inside
-    code = "from homescore.llm.secrets import is_known; print(is_known('acgt' * 25000 + '1b'), is_known('ab' * 50000 + '1'))"
+    code = "from homescore.llm.secrets import is_name_like; print(is_name_like('acgt' * 25000 + '1b'), is_name_like('ab' * 50000 + '1'))"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=60, check=True)
     assert done.stdout.split() == ["False", "True"]
+
+
+def test_random_letters_are_secrets(spark):
+    rng, scanner = random.Random(4), S.SecretScanner(RANKS)
+    strings = {
+        "lower": (["".join(rng.choices(string.ascii_lowercase, k=24)) for _ in range(1000)], 900),
+        "mixed": (["".join(rng.choices(string.ascii_letters, k=24)) for _ in range(1000)], 990),
+        "then digits": (["".join(rng.choices(string.ascii_lowercase, k=16)) + "".join(rng.choices(string.digits, k=8)) for _ in range(1000)], 650),
+    }
+    for values, least in strings.values():
+        assert sum(map(scanner.is_random, values)) >= least
+    for value in ("run_2024-01-31_23-59-59", "error_404_page_2_of_10", "HTMLParserTokenStream", "Donaudampfschifffahrtsgesellschaft", "====----====----", "2024-01-31_23-59-59"):
+        assert not scanner.is_random(value)
+    df = spark.createDataFrame([(1, "key qxzkvjwpbhtrgmfl83920174 end"), (2, "key fqzjxkvwpbnmhrtgcdlsqyzx end")], "doc_id long, text string")
+    assert [r.n_random for r in S.scan(df, RANKS).orderBy("doc_id").collect()] == [1, 1]
+    assert {r.text for r in S.redact(df, RANKS).collect()} == {"key [SECRET] end"}
