@@ -3,7 +3,8 @@
 A document's set is that of its five-word shingles. Equal sets are one class from the start. Every
 class stands in `TREES` sorted orders, each by a signature of `DEPTH` minima of its own. Neighbours in
 an order share the longest prefixes there are, so how deep two documents must agree adapts to how
-crowded their region is. Candidates of all orders are confirmed on the full sets.
+crowded their region is. Candidates of all orders are confirmed on the full sets. Regions that hold
+more classes than an order looks at are finished by an exact join on rare shingles.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ _UPPER[65:91] += 32
 @dataclass(frozen=True)
 class Forest:
     """Share of the union in percent that links; orders, minima in each, agreeing ones a candidate needs,
-    and neighbours looked at on either side, which leave out members of the same component."""
+    and neighbours looked at on either side, which leave out members of the same component. Where more
+    classes than these agree, all of them are joined on their shingles."""
 
     percent: int = 85
     shingle: int = 5
@@ -215,12 +217,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, how: Forest) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _crowded(orders: DataFrame, found: DataFrame, how: Forest) -> DataFrame:
+    """node and component of the classes that, in some order, agree with more others than are looked at.
+
+    Of fewer, every class has met every other in the first round; those all of one component need no link.
+    """
+    region = F.expr(f"substring(key, 1, {4 * how.least})")
+    rows = orders.join(found, "node").select("tree", region.alias("region"), "node", "component")
+    sizes = rows.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    full = sizes.where((F.col("n") > how.reach + 1) & (F.col("low") < F.col("high"))).select("tree", "region")
+    return rows.join(full, ["tree", "region"]).select("node", "component").distinct()
+
+
+def _sharing(sets: DataFrame, crowd: DataFrame, how: Forest) -> DataFrame:
+    """All pairs of `crowd` of different components that can link, got by an exact join.
+
+    All sets stand in one order, shingles that fewest of the crowd have first. A first shared shingle too
+    late in either set leaves too few to share, so only those early enough meet, each with its place.
+    The smaller set of a pair must share more of itself, and so needs to show fewer.
+    """
+    p = how.percent
+    each = sets.join(crowd, "node").select("node", "component", F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    one = F.struct(F.coalesce("held", F.lit(1)).alias("held"), "shingle")
+    ranked = each.join(held, "shingle", "left").groupBy("node", "component").agg(F.sort_array(F.collect_list(one)).alias("row"))
+    sized = stage(ranked.select("node", "component", F.size("row").cast("long").alias("n"), "row"), "ranked")
+
+    def shown(least: str, x: str) -> DataFrame:
+        early = sized.select("node", "component", "n", F.posexplode(F.expr(f"slice(row, 1, cast(n - {least} + 1 as int))")).alias("i", "at"))
+        return early.where("at.held > 1").selectExpr("at.shingle", f"node {x}", f"component {x}_component", f"n {x}_n", f"n - i {x}_left")
+
+    small = shown(f"(2 * {p} * n + {99 + p}) div {100 + p}", "s")
+    large = shown(f"({p} * n + 99) div 100", "l")
+    fits = f"s_component <> l_component and (s_n < l_n or s_n = l_n and s < l) and {100 + p} * least(s_left, l_left) >= {p} * (s_n + l_n)"
+    return small.join(large, "shingle").where(fits).selectExpr("least(s, l) a", "greatest(s, l) b").distinct()
+
+
 def _links(keyed: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
-    """Confirmed links between classes, enough to join whatever the forest's candidates join.
+    """Confirmed links between classes, enough to join all that agree in the first minima of an order.
 
     The first round takes the nearest neighbours of every class. Where a region is so crowded that a
     class's neighbours are all of its own component by now, the next round looks past them to the
-    nearest of other components, until a round confirms nothing.
+    nearest of other components, until a round confirms nothing. What such rounds pass over, as where
+    the nearest are many and do not link, an exact join within the crowded regions finds.
     """
     width = 4 * how.depth
     key = F.expr(f"substring(signature, tree * {width} + 1, {width})")
@@ -243,11 +282,17 @@ def _links(keyed: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
         links = new if first else links.union(new)
         tried = pairs if first else tried.union(pairs)
         if new.isEmpty():
-            discard(sets)
-            return links
+            break
         joined = met.join(components(links), "node", "left")
         found = stage(joined.select("node", F.coalesce("component", "node").alias("component")), "found")
         first = False
+    placed = met.withColumn("component", F.col("node")) if found is None else found
+    crowd = stage(_crowded(orders, placed, how), "crowd")
+    if not crowd.isEmpty():
+        rest = stage(_sharing(sets, crowd, how).join(tried, ["a", "b"], "left_anti"), "rest")
+        links = links.union(stage(_confirmed(rest, sets, how), "links"))
+    discard(sets, crowd)
+    return links
 
 
 def near_duplicates(docs: DataFrame, how: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -94,3 +94,49 @@ def test_components(spark):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == roots(nodes, [x for x in links if x[0] != x[1]])
     assert components(df.limit(0)).count() == 0
+
+
+def family(n, linked, words, changed, shared, seed):
+    """Versions of one text that link with none, and `linked` pairs among them that just do."""
+    rng, texts = random.Random(seed), []
+    for k in range(n):
+        own = [f"w{i}" for i in range(words)]
+        places = rng.sample(range(0, words, 5), changed)
+        kept = places[:shared] if k < 2 * linked else []
+        for i in places:
+            own[i] = f"x{k}x{i}"
+        texts.append(own)
+        if k < 2 * linked and k % 2:
+            before = [i for i in range(words) if texts[k - 1][i] != f"w{i}"][:shared]
+            for i in kept:
+                own[i] = f"w{i}"
+            for i in before:
+                own[i] = texts[k - 1][i]
+    return {k: " ".join(t) for k, t in enumerate(texts)}
+
+
+def family_links(texts, percent):
+    """Links by a product of all sets, over the shingles that more than one text has."""
+    sets = {k: shingles(t) for k, t in texts.items()}
+    count = defaultdict(int)
+    for s in sets.values():
+        for x in s:
+            count[x] += 1
+    place = {x: i for i, x in enumerate(x for x, c in count.items() if c > 1)}
+    held = np.zeros((len(sets), len(place)), np.float32)
+    for k, s in sets.items():
+        held[k, [place[x] for x in s if x in place]] = 1
+    both, size = (held @ held.T).astype(int), np.array([len(s) for s in sets.values()])
+    union = size[:, None] + size[None, :] - both
+    near = np.triu(100 * both >= percent * union, 1)
+    return [tuple(map(int, x)) for x in np.argwhere(near)], float(np.median(both / union))
+
+
+def test_pairs_in_a_family_that_does_not_link(spark):
+    """A crowd of near texts below the limit must not hide the few pairs above it."""
+    texts = family(1000, 10, 3000, 30, 6, 5)
+    links, median = family_links(texts, 85)
+    assert 0.8 <= median <= 0.84 and 10 <= len(links) <= 30
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(df).collect()}
+    assert got == roots(texts, links)
