@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,10 @@ UNIT = 10_000
 class LlrRules:
     """Buckets for hashed n-grams, n-gram sizes, smoothing, and the least mean log ratio kept.
 
-    `trusted_rows` bounds the trusted documents learned from: those with the smallest hash of their id.
+    All trusted documents count; their ids are broadcast in blocks of about `block_ids`, one pass each.
     """
 
-    trusted_rows: int = 20_000
+    block_ids: int = 1_000_000
     buckets: int = 8192
     sizes: tuple[int, ...] = (1, 2)
     smoothing: float = 4.0
@@ -88,19 +89,23 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rules: LlrRules = LlrRules()
     """Per bucket the log of its smoothed share in trusted documents over that in all documents, in units.
 
     `trusted` lists the trusted documents by `doc_id`. Every n-gram of every document counts in the
-    corpus. Only one row a bucket comes back to the driver.
+    corpus. Only one row a bucket and block comes back to the driver.
     """
     ids = trusted.select(trusted["doc_id"].cast("long").alias("doc_id")).dropna().distinct()
-    marks = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.trusted_rows).withColumn("trusted", F.lit(1))
-    grams = (
-        id_text(docs, id_col, text_col)
-        .join(F.broadcast(marks), "doc_id", "left")  # at most `trusted_rows` ids, so texts stay where they are
-        .select(F.coalesce("trusted", F.lit(0)).alias("trusted"), words_of(F.col("text")).alias("words"))
-        .select("trusted", F.explode_outer(_buckets(F.col("words"), rules)).alias("bucket"))
-    )  # plain explode would filter on the size of the array first, and so build it twice
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("trusted")).collect()
-    raw = {r.bucket: r.raw for r in counts if r.bucket is not None}
-    target = {r.bucket: r.trusted for r in counts if r.bucket is not None}
+    blocks = max(1, -(-ids.count() // rules.block_ids))
+    raw, target = Counter(), Counter()
+    for k in range(blocks):
+        # a block is of bounded size and broadcast, so texts stay where they are
+        block = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k).withColumn("trusted", F.lit(1))
+        grams = (
+            id_text(docs, id_col, text_col)
+            .join(F.broadcast(block), "doc_id", "inner" if k else "left")  # the first pass counts the corpus too
+            .select(F.coalesce("trusted", F.lit(0)).alias("trusted"), words_of(F.col("text")).alias("words"))
+            .select("trusted", F.explode_outer(_buckets(F.col("words"), rules)).alias("bucket"))
+        )  # plain explode would filter on the size of the array first, and so build it twice
+        for r in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("trusted")).where("bucket is not null").collect():
+            raw[r.bucket] += 0 if k else r.raw
+            target[r.bucket] += r.trusted
     a, n = rules.smoothing, rules.buckets
     whole_raw, whole_target = sum(raw.values()) + a * n, sum(target.values()) + a * n
     if whole_target == a * n:  # nothing is trusted, so nothing speaks against any document

@@ -61,3 +61,15 @@ def test_nothing_trusted_and_empty_table(spark, docs):
     none = spark.createDataFrame([], "doc_id long")
     assert all(r.kept != r.base_failed for r in Q.quality_rules(docs, none).collect())
     assert Q.quality_rules(docs.limit(0), none).count() == 0
+
+
+def test_all_trusted_documents_count(spark):
+    """Shares come from every trusted document, be their ids one block or several."""
+    many = spark.range(21_000).selectExpr("id doc_id", "concat('w', if(id < 20500, 0, 1)) text")
+    trusted = many.where("doc_id < 20900").select("doc_id")
+    bucket = {w: spark.sql(f"select pmod(xxhash64('{w}'), 64) b").first().b for w in ("w0", "w1")}
+    raw, target = {bucket["w0"]: 20_500, bucket["w1"]: 500}, {bucket["w0"]: 20_500, bucket["w1"]: 400}
+    assert len(raw) == 2
+    want = [round(10_000 * (math.log((target.get(b, 0) + 1) / (20_900 + 64)) - math.log((raw.get(b, 0) + 1) / (21_000 + 64)))) for b in range(64)]
+    assert Q.log_ratios(many, trusted, Q.LlrRules(buckets=64, sizes=(1,), smoothing=1.0)) == want
+    assert Q.log_ratios(many, trusted.union(trusted), Q.LlrRules(block_ids=4_000, buckets=64, sizes=(1,), smoothing=1.0)) == want
