@@ -5,6 +5,8 @@ from __future__ import annotations
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERMS = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
 #: Every node with the least node that it reaches, from `nodes(id)` and `links(a, b)`.
 _REACH = """
     ends_of as (select a, b from links union select b, a from links),
@@ -47,4 +49,18 @@ ORACLE: dict[str, str] = {
         counts as (select a, count(*) as n from ends_of group by a)
         select vec_id, coalesce(n, 0) as n_links, r as component_id, vec_id = r as kept
         from embeddings join nearest on id = vec_id left join counts on a = vec_id""",
+    "op11_ngram_decontamination": f"""
+        with d as (select row_number() over () as r, doc_id, {_TERMS.format(_LOWER)} as w from documents),
+        b as (select item_id::varchar as item, {_TERMS.format(_LOWER)} as w, least(len(w), 10) as k from benchmark),
+        item_places as (select item, w, k, unnest(range(1, len(w) - k + 2)) as i from b where k > 0),
+        item_windows as (select distinct k, array_to_string(w[i:i + k - 1], ' ') as t, item from item_places),
+        places as (select r, w, k, unnest(range(1, len(w) - k + 2)) as i
+                   from d, (select distinct k from item_windows) where len(w) >= k),
+        found as (select r, i, k, array_to_string(w[i:i + k - 1], ' ') as t from places),
+        hits as (select r, i, k, item from found join item_windows using (k, t)),
+        covered as (select r, count(*) as n from (select distinct r, unnest(range(i, i + k)) as p from hits) group by r),
+        items as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as ids from hits group by r)
+        select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+               sha256(coalesce(ids, '')) as items_sha256, coalesce(n, 0) > 0 as contaminated
+        from d left join covered using (r) left join items using (r)""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from homescore.llm.decontamination import op11_ngram_decontamination
 from homescore.llm.embedding_dedup import op9_hnsw_near_vectors
 from homescore.llm.language import op7_hyperdimensional_language
 from homescore.llm.near_dedup import op2_lsh_forest_near_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_subword_quality": op8_subword_quality,
     "op9_hnsw_near_vectors": op9_hnsw_near_vectors,
     "op10_llr_quality_rules": op10_llr_quality_rules,
+    "op11_ngram_decontamination": op11_ngram_decontamination,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
