@@ -63,4 +63,20 @@ ORACLE: dict[str, str] = {
         select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
                sha256(coalesce(ids, '')) as items_sha256, coalesce(n, 0) > 0 as contaminated
         from d left join covered using (r) left join items using (r)""",
+    "op13_zone_map_hard_negatives": """
+        with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q,
+                          case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+                   from embeddings where embedding is not null and label is not null
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (select a.r, a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+                          list_inner_product(a.q, b.q)::bigint as score
+                   from v a join v b on a.r <> b.r and len(a.q) = len(b.q) where a.vec_id % 100 = 0),
+        places as (select *, row_number() over (partition by r order by score desc, other_id) as place from scored where same),
+        positives as (select r, anchor_id, place, other_id as positive_id, score as positive_score from places where place <= 5),
+        ranked as (select p.*, n.other_id as negative_id, n.score as negative_score,
+                          row_number() over (partition by p.r, p.place order by n.score desc, n.other_id) as rank
+                   from positives p join scored n on n.r = p.r and not n.same
+                   where 30 * positive_score <= 100 * n.score and 100 * n.score <= 90 * positive_score)
+        select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score
+        from ranked where rank <= 10""",
 }

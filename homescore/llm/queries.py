@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from homescore.llm.decontamination import op11_ngram_decontamination
 from homescore.llm.embedding_dedup import op9_hnsw_near_vectors
+from homescore.llm.hard_negatives import op13_zone_map_hard_negatives
 from homescore.llm.language import op7_hyperdimensional_language
 from homescore.llm.near_dedup import op2_lsh_forest_near_dedup
 from homescore.llm.oracle import ORACLE
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_hnsw_near_vectors": op9_hnsw_near_vectors,
     "op10_llr_quality_rules": op10_llr_quality_rules,
     "op11_ngram_decontamination": op11_ngram_decontamination,
+    "op13_zone_map_hard_negatives": op13_zone_map_hard_negatives,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
