@@ -63,6 +63,29 @@ ORACLE: dict[str, str] = {
         select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
                sha256(coalesce(ids, '')) as items_sha256, coalesce(n, 0) > 0 as contaminated
         from d left join covered using (r) left join items using (r)""",
+    "op12_euler_tour_prefix_trie": r"""
+        with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+                          row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as i
+                   from conversations where conv_id is not null),
+        steps as (select distinct c, flatten(list_transform(range(1, len(c::varchar) + 1),
+                      lambda k: [ascii(substr(c::varchar, k, 1))::bigint, -1, -1, -1, -1, -1, -1, -1, -1])) as s from t),
+        convs as (select c, c - c % 20 as base, xor(4294967295::bigint, list_reduce([4294967295::bigint] || s,
+                      lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end)) % 4 as h from steps),
+        turns as (select v.c, t.i, role, text from convs v join t on t.c = v.base and t.i <= v.h
+                  union all select v.c, t.i, role, text from convs v join t on t.c = v.c and t.i > v.h),
+        placed as (select c, row_number() over (partition by c order by i) as d, text,
+                          concat(length(role), ':', role, length(text), ':', text) as e from turns),
+        keyed as (select c, d, text, md5(string_agg(e, '') over (partition by c order by d)) as k from placed
+                  union all select c, 0, '', '' from convs),
+        members as (select c, d, text, d = max(d) over (partition by c) as at_end, min(c) over (partition by d, k) as node from keyed),
+        nodes as (select node, d, count(*) as n_convs, len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) as words,
+                         coalesce(string_agg(c::varchar, ',' order by c) filter (at_end), '') as ends from members group by node, d),
+        linked as (select n.*, p.node as parent from nodes n left join members p on p.c = n.node and p.d = n.d - 1),
+        counted as (select l.*, (select count(*) from linked q where q.parent = l.node and q.d = l.d + 1) as n_children from linked l),
+        below as (select m.node, m.d, count(*) filter (u.n_children = 0) as n_leaves, sum((u.n_convs - 1) * u.words)::bigint as saved
+                  from counted u join members m on m.c = u.node and m.d <= u.d group by m.node, m.d)
+        select node as conv_id, d as depth, parent as parent_conv_id, n_convs, n_children, n_leaves, saved as saved_tokens, sha256(ends) as ends_sha256
+        from counted join below using (node, d)""",
     "op13_zone_map_hard_negatives": """
         with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q,
                           case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label

@@ -9,6 +9,7 @@ from homescore.llm.language import op7_hyperdimensional_language
 from homescore.llm.near_dedup import op2_lsh_forest_near_dedup
 from homescore.llm.oracle import ORACLE
 from homescore.llm.packing import op6_vector_packing
+from homescore.llm.prefix_trie import op12_euler_tour_prefix_trie
 from homescore.llm.quality_model import op8_subword_quality
 from homescore.llm.quality_rules import op10_llr_quality_rules
 from homescore.llm.secrets import op4_token_efficiency_secrets
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_hnsw_near_vectors": op9_hnsw_near_vectors,
     "op10_llr_quality_rules": op10_llr_quality_rules,
     "op11_ngram_decontamination": op11_ngram_decontamination,
+    "op12_euler_tour_prefix_trie": op12_euler_tour_prefix_trie,
     "op13_zone_map_hard_negatives": op13_zone_map_hard_negatives,
 }
 
