@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from homescore.config import ModelFamilies
-from homescore.operators import dataset, model, score
+from homescore.operators import dataset, model, presence, score, states
 from homescore.operators.cohort import cohort_by_counts, rolling_cohort
 from homescore.operators.features import device_features
 from homescore.operators.kpi import device_kpis
@@ -22,6 +22,7 @@ from homescore.operators.telemetry import metric_telemetry, telemetry
 from homescore.operators.topology import device_groups, subscriber_identity
 from homescore.schemas import DEVICE_GROUPS, STATION_HISTORY, SUBSCRIBER_MAP, dated
 from homescore.sources import days as D
+from homescore.sources.published import Draft, open_days, read_published
 from homescore.sources.sinks import overwrite_days, overwrite_window
 from homescore.sources.staging import stage
 
@@ -38,6 +39,15 @@ class Tables:
     router_population: str
     install_list: str
     extender_score: str
+    store = ""  # scores are tables of their own
+
+
+@dataclass(frozen=True)
+class PublishedTables(Tables):
+    """Scores of a day are published together in `store`, with daily states from which windows are merged;
+    `device_score` and `home_score` are not used."""
+
+    store: str = ""
 
 
 def _table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -66,10 +76,29 @@ def score_day(
     )
     # Weights and two outputs are made from the device rows.
     devices = score.device_scores_c(stage(located, "located-devices"))
+    if tables.store:
+        publish_day(spark, tables.store, day, score.rounded_device_scores(devices), score.home_scores(devices), files)
+        return
     overwrite_days(stamp_date(score.rounded_device_scores(devices), str(day)), tables.device_score, files=files, days=[day])
     overwrite_days(stamp_date(score.home_scores(devices), str(day)), tables.home_score, files=files, days=[day])
 
 
+def publish_day(spark: SparkSession, store: str, day: date | str, devices: DataFrame, homes: DataFrame, files: int | None = None) -> None:
+    """Make the device rows, home rows and states of a day visible together."""
+    draft = Draft(spark, store, day)
+    stored = draft.write("device_score", devices, files).withColumn("date", F.lit(draft.day))
+    scored = draft.write("home_score", homes, files).withColumn("date", F.lit(draft.day))
+    draft.write("device_states", states.device_states(stored))
+    draft.write("value_states", states.value_states(stored))
+    draft.write("home_states", states.home_states(scored))
+    draft.publish()
+
+
+def _scores(spark: SparkSession, tables: Tables, name: str) -> DataFrame:
+    """Stored rows of `device_score` or `home_score`, with their date."""
+    return read_published(spark, tables.store, name) if tables.store else _table(spark, getattr(tables, name))
+
+
 @dataclass
 class Outcome:
     """Days a job wrote, and those it could not, with the reason."""
@@ -104,8 +133,11 @@ def backfill_scores(
     spark: SparkSession, tables: Tables, today: date | str, back: int = 9, archive: str | None = None, **options
 ) -> Outcome:
     """Score every one of the last `back` days that has no home scores yet, here or in the archive."""
-    places = [tables.home_score] if archive is None else [tables.home_score, archive]
-    todo = _open_days(spark, places, D.as_day(today) - timedelta(back), back)
+    first = D.as_day(today) - timedelta(back)
+    places = [] if tables.store else [tables.home_score]
+    todo = _open_days(spark, places if archive is None else [*places, archive], first, back)
+    if tables.store:
+        todo = open_days(spark, tables.store, todo)
     return each_day(todo, lambda day: score_day(spark, tables, day, **options))
 
 
@@ -121,7 +153,7 @@ def training_dataset(
 ) -> None:
     """Before / after rows of the homes that got an extender around `install`, named by their window."""
     first = D.as_day(install)
-    devices, homes = _table(spark, tables.device_score), _table(spark, tables.home_score)
+    devices, homes = _scores(spark, tables, "device_score"), _scores(spark, tables, "home_score")
     members = stage(rolling_cohort(devices, first, window), "cohort")
     before, after = first - timedelta(window), first + timedelta(window)
     rows = dataset.before_after_set(devices, homes, members, before, after, window)
@@ -131,19 +163,32 @@ def training_dataset(
 def population_day(
     spark: SparkSession, tables: Tables, day: date | str, routers: Sequence[str], window: int = 7
 ) -> None:
-    rows = dataset.router_population(
-        _table(spark, tables.device_score), _table(spark, tables.home_score), day, window, routers
-    )
+    if tables.store:
+        first = D.as_day(day) - timedelta(window)
+        merged = [read_published(spark, tables.store, name, first, window) for name in ("device_states", "value_states", "home_states")]
+        rows = states.router_population(*merged, day, window, routers)
+    else:
+        rows = dataset.router_population(
+            _table(spark, tables.device_score), _table(spark, tables.home_score), day, window, routers
+        )
     overwrite_days(stamp_date(rows, str(day)), tables.router_population, days=[day])
 
 
-def install_list_day(spark: SparkSession, tables: Tables, start: date | str, routers: Sequence[str]) -> None:
-    """Training rows of the homes that installed an extender on `start`; all days around it must exist."""
+def install_list_day(
+    spark: SparkSession, tables: Tables, start: date | str, routers: Sequence[str], cohorts: DataFrame | None = None
+) -> None:
+    """Training rows of the homes that installed an extender on `start`; all days around it must exist.
+
+    `cohorts` (serial_num, start) names the homes of several start days; without it they are found here.
+    """
     first = D.as_day(start)
-    homes = _table(spark, tables.home_score)
+    homes = _scores(spark, tables, "home_score")
     D.window_of_days(homes, first - timedelta(7), 15, on_missing="error")
-    cohort = stage(cohort_by_counts(homes, first), "install-cohort")
-    rows = dataset.install_set(_table(spark, tables.device_score), homes, cohort, first, routers)
+    if cohorts is None:
+        cohort = stage(cohort_by_counts(homes, first), "install-cohort")
+    else:
+        cohort = cohorts.where(F.col("start") == F.lit(first)).select("serial_num")
+    rows = dataset.install_set(_scores(spark, tables, "device_score"), homes, cohort, first, routers)
     overwrite_days(stamp_date(rows, str(first)), tables.install_list, days=[first])
 
 
@@ -158,10 +203,21 @@ def recommend_day(spark: SparkSession, tables: Tables, day: date | str, families
 def backfill_install_lists(
     spark: SparkSession, tables: Tables, today: date | str, routers: Sequence[str], back: int = 10
 ) -> Outcome:
-    """Install lists of the last `back` start days whose days after it are over and that have none yet."""
+    """Install lists of the last `back` start days whose days after it are over and that have none yet.
+
+    The homes of all these days come from one scan of the home scores.
+    """
     first = D.as_day(today) - timedelta(8 + back - 1)
     todo = _open_days(spark, [tables.install_list], first, back)
-    return each_day(todo, lambda day: install_list_day(spark, tables, day, routers))
+    found: list[DataFrame] = []
+
+    def job(day: date) -> None:
+        if not found:
+            bitmaps = presence.row_count_bitmaps(_scores(spark, tables, "home_score"), first - timedelta(7), back + 14)
+            found.append(stage(presence.cohorts_by_counts(bitmaps, todo), "install-cohorts"))
+        install_list_day(spark, tables, day, routers, found[0])
+
+    return each_day(todo, job)
 
 
 def run_day(

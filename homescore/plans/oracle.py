@@ -180,6 +180,10 @@ def _in_days(start: str, count: int) -> str:
     return f"date between date '{start}' and date '{start}' + {count - 1}"
 
 
+def _starts(first: str, count: int = 10) -> str:
+    return f"(select date '{first}' + i::int as start from range({count}) s(i))"
+
+
 def _device_window(source: str, features=WINDOW_FEATURES, no_median=("device_score",), volume=False, n=5) -> str:
     figures = [f"{rnd(f'avg({f})')} as {f}" for f in features]
     figures += [f"{rnd(f'quantile_disc({f}, 0.5)')} as median_{f}" for f in features if f not in no_median]
@@ -834,4 +838,45 @@ ORACLE: dict[str, str] = {
     + f"""
         select serial_num, {rnd("home_score")} as home_score, dg_model_indiv, mdn, cust_id, date::varchar as date
         from home_days where {_in_days("2024-01-01", 20)} and mdn in ('D1', 'D7', 'D33')""",
+    "cohort_counts_starts": ctes("home_days")
+    + f"""
+        select serial_num, start::varchar as start
+        from (select serial_num, date, count(*) as n from home_days group by all), {_starts("2024-01-05")}
+        where date between start - 2 and start + 2 group by serial_num, start
+        having count(*) filter (where date < start and n <= 2) = 2 and count(*) filter (where date >= start and n >= 2) = 3""",
+    "cohort_counts_starts_published": f"""
+        with u as (select distinct user_id from events),
+        d as (select user_id, i as day, 1 + (i >= 8 + user_id % 7)::int as n from u, range(30) t(i)
+              where not (user_id % 5 = 4 and i = 16))
+        select {SN.format("user_id")} as serial_num, start::varchar as start
+        from (select user_id, date '2024-03-01' + day::int as date, n from d), {_starts("2024-03-08")}
+        where date between start - 7 and start + 7 group by user_id, start
+        having count(*) filter (where date < start and n = 1) = 7 and count(*) filter (where date >= start and n = 2) = 8""",
+    "cohort_flags_installs": ctes("device_days")
+    + f"""
+        select serial_num, start::varchar as start
+        from (select serial_num, date, max(flag) as flag from device_days, unnest(Rou_Ext) as u(flag) group by all), {_starts("2024-01-05")}
+        group by serial_num, start
+        having max(flag) filter (where date between start - 3 and start - 1) = 0
+           and max(flag) filter (where date between start and start + 2) = 1
+           and max(flag) filter (where date between start + 3 and start + 5) = 1""",
+    "device_day_states": ctes("device_days")
+    + f"""
+        select serial_num, date::varchar as date, count(*) as rows,
+               {", ".join(f"{rnd(f'sum({f})')} as sum_{f}, count({f}) as n_{f}" for f in ("avg_phyrate", "volume", "avg_sig_strength_cat3"))},
+               {rnd("sum(exp(volume))")} as total_volume,
+               array_to_string(list_sort(list(device_score))[1:5], ',') as lowest
+        from device_days group by serial_num, date""",
+    "exact_medians": """
+        select o_orderpriority, 'o_totalprice' as name, quantile_disc(o_totalprice, 0.5)::double as median from orders group by 1
+        union all
+        select o_orderpriority, 'minus_customer', quantile_disc(o_custkey * -1.0::double, 0.5) from orders group by 1""",
+    "published_days": ctes("ev")
+    + """
+        select date::varchar as date, event_type, count(*) as count, case when date > date '2024-01-02' then count(*) end as n
+        from ev where date between date '2024-01-02' and date '2024-01-04' and (date <> date '2024-01-03' or event_type = 'click')
+        group by date, event_type""",
 }
+
+# The same rows from daily states.
+ORACLE |= {f"{name}_states": ORACLE[name] for name in ("agg_device_window", "agg_home_window", "router_population")}

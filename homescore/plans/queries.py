@@ -18,10 +18,10 @@ from homescore.config import (
     RecommendationRules,
 )
 from homescore.functions import parsing
-from homescore.operators import cohort, dataset, features, kpi, model, report, reshape, score, topology
+from homescore.operators import cohort, dataset, features, kpi, medians, model, presence, report, reshape, score, states, topology
 from homescore.operators import telemetry as telemetry_ops
 from homescore.operators import weights as W
-from homescore.sources import days, files, sinks, staging
+from homescore.sources import days, files, published, sinks, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -430,6 +430,33 @@ def cohort_counts_published(spark, sf):
     return cohort.cohort_by_counts(homes, "2024-03-10")
 
 
+def cohort_counts_starts(spark, sf):
+    """The rule of one model before and two after, for ten start days from one scan of the homes."""
+    bitmaps = presence.row_count_bitmaps(A.home_days(spark, sf), "2024-01-01", 20, F.col("rows") <= 2, F.col("rows") >= 2)
+    return tidy(presence.cohorts_by_counts(bitmaps, days.day_list("2024-01-05", 10), COUNT_BEFORE, COUNT_AFTER))
+
+
+def cohort_counts_starts_published(spark, sf):
+    """One model on each of 7 days, two on each of 8, for ten start days: users get an extender on different days."""
+    users = A.table(spark, sf, "events").select("user_id").distinct()
+    day = F.explode(F.sequence(F.lit(0), F.lit(29))).alias("day")
+    models = F.when(F.col("day") >= 8 + F.col("user_id") % 7, F.array(F.lit("router"), F.lit("extender"))).otherwise(F.array(F.lit("router")))
+    rows = users.select("user_id", day).where(~((F.col("user_id") % 5 == 4) & (F.col("day") == 16)))
+    homes = rows.select(
+        A.serial(F.col("user_id")).alias("serial_num"),
+        F.date_add(F.lit("2024-03-01").cast("date"), F.col("day")).alias("date"),
+        F.explode(models).alias("dg_model_indiv"),
+    )
+    bitmaps = presence.row_count_bitmaps(homes, "2024-03-01", 30)
+    return tidy(presence.cohorts_by_counts(bitmaps, days.day_list("2024-03-08", 10)))
+
+
+def cohort_flags_installs(spark, sf):
+    """Homes that went on an extender around each of ten days, from one scan of the device days."""
+    bitmaps = presence.flag_bitmaps(A.device_days(spark, sf), "2024-01-01", 24)
+    return tidy(presence.cohorts_by_flags(bitmaps, days.day_list("2024-01-05", 10), COHORT_DAYS))
+
+
 def homes_with_one_model(spark, sf):
     return tidy(cohort.homes_with_row_count(A.home_days(spark, sf), lambda rows: rows == 1))
 
@@ -453,6 +480,43 @@ def agg_home_window(spark, sf):
     return tidy(features.home_window(homes, MODELS, per_model=True, stations=True))
 
 
+def _states(spark: SparkSession, sf: str, start: str) -> tuple[DataFrame, DataFrame]:
+    """Daily states of all homes, and their value counts, for a week of a table of all days."""
+    devices = A.device_days(spark, sf)
+    tables = staging.stage(states.device_states(devices), "device-states"), staging.stage(states.value_states(devices), "value-states")
+    return tuple(days.window_of_days(t, start, WINDOW_DAYS) for t in tables)
+
+
+def device_day_states(spark, sf):
+    rows = states.device_states(A.device_days(spark, sf), ("avg_phyrate", "volume", "avg_sig_strength_cat3"))
+    return tidy(rows.withColumn("lowest", F.array_join("lowest", ",")))
+
+
+def agg_device_window_states(spark, sf):
+    """`agg_device_window` from daily states."""
+    return tidy(states.device_window(*_states(spark, sf, WINDOW_START), total_volume=True))
+
+
+def agg_home_window_states(spark, sf):
+    """`agg_home_window` from daily states."""
+    homes = staging.stage(states.home_states(A.home_days(spark, sf)), "home-states")
+    return tidy(states.home_window(days.window_of_days(homes, WINDOW_START, WINDOW_DAYS), MODELS, per_model=True, stations=True))
+
+
+def router_population_states(spark, sf):
+    """`router_population` from daily states."""
+    homes = staging.stage(states.home_states(A.home_days(spark, sf)), "home-states")
+    return tidy(states.router_population(*_states(spark, sf, "2024-01-15"), homes, POPULATION_DAY, WINDOW_DAYS, MODELS))
+
+
+def exact_medians(spark, sf):
+    """Medians of order values by priority: few groups with very many distinct values, narrowed down by ranges."""
+    orders = A.table(spark, sf, "orders").select("o_orderpriority", "o_totalprice", (F.col("o_custkey") * -1.0).alias("minus_customer"))
+    keys = ["o_orderpriority"]
+    found = medians.medians(staging.stage(medians.value_counts(orders, keys, ["o_totalprice", "minus_customer"]), "values"), keys, at_once=100)
+    return tidy(found)
+
+
 def training_set(spark, sf):
     devices, homes = A.device_days(spark, sf), A.home_days(spark, sf)
     members = staging.stage(cohort.rolling_cohort(devices, COHORT_INSTALL, COHORT_DAYS), "cohort")
@@ -695,6 +759,26 @@ def overwrite_empty_day(spark, sf):
     return tidy(spark.read.parquet(path).groupBy("date").agg(F.count("*").alias("count")))
 
 
+def published_days(spark, sf):
+    """Days published as a whole, one of them again with other rows, one again but not to the end."""
+    store = staging.new_path(spark, "store")
+    rows = _event_days(spark, sf)
+
+    def draft(day: str, kept: str) -> published.Draft:
+        made = published.Draft(spark, store, day)
+        found = made.write("rows", rows.where((F.col("date") == day) & F.expr(kept)))
+        made.write("counts", found.groupBy("event_type").agg(F.count("*").alias("n")))
+        return made
+
+    for day in days.day_list("2024-01-02", 3):
+        draft(str(day), "true").publish()
+    draft("2024-01-03", "event_type = 'click'").publish()
+    draft("2024-01-04", "event_type = 'view'")  # a job that stops here leaves the day as it was
+    stored = published.read_published(spark, store, "rows").groupBy("date", "event_type").agg(F.count("*").alias("count"))
+    counts = published.read_published(spark, store, "counts", "2024-01-03", 2)
+    return tidy(stored.join(counts, ["date", "event_type"], "left"))
+
+
 def overwrite_files(spark, sf):
     """Days written by a given number of tasks and read back."""
     path = staging.new_path(spark, "sized")
@@ -767,11 +851,19 @@ QUERIES: dict[str, Query] = {
         cohort_flags_install,
         cohort_counts,
         cohort_counts_published,
+        cohort_counts_starts,
+        cohort_counts_starts_published,
+        cohort_flags_installs,
         homes_with_one_model,
         lowest_n,
         total_volume,
         agg_device_window,
         agg_home_window,
+        device_day_states,
+        agg_device_window_states,
+        agg_home_window_states,
+        router_population_states,
+        exact_medians,
         training_set,
         install_list,
         router_population,
@@ -806,6 +898,7 @@ QUERIES: dict[str, Query] = {
         read_day_folders,
         read_day_files,
         overwrite_empty_day,
+        published_days,
         overwrite_files,
         window_dataset,
         report_csv,
