@@ -7,7 +7,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -99,6 +99,8 @@ def logistic(train_rows: int) -> LogisticRegression:
         standardization=False,
         regParam=1.0 / max(train_rows, 1),
         elasticNetParam=0.0,
+        tol=1e-12,
+        maxIter=1000,
     )
 
 
@@ -128,6 +130,45 @@ def fit_logistic(train: DataFrame, features: Sequence[str] = SWEEP_FEATURES) ->
     return Pipeline(stages=[assembler(features), logistic(train.count())]).fit(with_class_weight(train))
 
 
+def logistic_gradient(fitted: PipelineModel, train: DataFrame) -> DataFrame:
+    """Gradient of the penalised loss at the fitted coefficients: one row for each, from one aggregation, with
+    the feature's mean size as `scale`.
+
+    The loss is strictly convex, so coefficients without gradient are the best ones there are. `train`
+    holds the rows learned from.
+    """
+    _, features = model_inputs(fitted)
+    last = fitted.stages[-1]
+    rows = with_class_weight(train.where(complete(features)))
+    strength = last.getRegParam()
+    error = F.col(WEIGHT) * (_chance(last, features) - F.col(LABEL))
+    names, values = ("intercept", *features), [F.lit(1.0), *map(F.col, features)]
+    sums = [F.sum(error * x).alias(f"g_{k}") for k, x in enumerate(values)]
+    sums += [F.sum(F.col(WEIGHT) * F.abs(x)).alias(f"s_{k}") for k, x in enumerate(values)]
+    penalty = [0.0, *(strength * c for c in last.coefficients)]
+    gradient = lambda k: (F.col(f"g_{k}") / F.col("whole") + F.lit(float(penalty[k]))).alias("gradient")
+    scale = lambda k: (F.col(f"s_{k}") / F.col("whole")).alias("scale")
+    each = F.array(*[F.struct(F.lit(n).alias("name"), gradient(k), scale(k)) for k, n in enumerate(names)])
+    return rows.agg(*sums, F.sum(WEIGHT).alias("whole")).select(F.inline(each))
+
+
+def _chance(last: LogisticRegressionModel, features: Sequence[str]) -> Column:
+    """Probability of class 1 written out from the fitted coefficients."""
+    sums = F.lit(float(last.intercept))
+    for name, weight in zip(features, last.coefficients):
+        sums = sums + F.col(name) * F.lit(float(weight))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-sums))
+
+
+def keep_model(fitted: PipelineModel, path: str) -> None:
+    """Store a fitted model; `kept_model` reads it again, on any later day."""
+    fitted.write().overwrite().save(path)
+
+
+def kept_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def confusion(predicted: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Rows per (label, prediction)."""
     return predicted.groupBy(
@@ -186,11 +227,12 @@ def population_rows(population: DataFrame, rules: RecommendationRules = Recommen
 
 def with_prediction(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Rows that lack none of the model's features, with its prediction."""
-    imputed, features = _inputs(model)
+    imputed, features = model_inputs(model)
     return model.transform(df.where(complete(features, imputed)))
 
 
-def _inputs(model: PipelineModel) -> tuple[list[str], list[str]]:
+def model_inputs(model: PipelineModel) -> tuple[list[str], list[str]]:
+    """Columns that a fitted model fills, and those it learned from."""
     imputed = [c for s in model.stages if isinstance(s, ImputerModel) for c in s.getInputCols()]
     features = [c for s in model.stages if isinstance(s, VectorAssembler) for c in s.getInputCols()]
     return imputed, features
@@ -198,7 +240,7 @@ def _inputs(model: PipelineModel) -> tuple[list[str], list[str]]:
 
 def score_population(model: PipelineModel, population: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Probability that a home improves, to 4 places; NULL for homes that lack a feature."""
-    imputed, features = _inputs(model)
+    imputed, features = model_inputs(model)
     chance = F.round(vector_to_array("probability")[1], 4)
     scored = with_prediction(model, population).select("serial_num", *keep, chance.alias("extender_score"))
     rest = population.where(~complete(features, imputed))
@@ -210,10 +252,16 @@ def recommend(
     population: DataFrame,
     families: ModelFamilies | None = None,
     rules: RecommendationRules = RecommendationRules(),
+    keep: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Train on the installs, and return the hold-out metrics and the scored population."""
+    """Train on the installs, and return the hold-out metrics and the scored population.
+
+    With `keep` the fitted model is stored there.
+    """
     split = with_split(training_rows(installs, families, rules))
     model = fit_forest(split.where("NOT is_test"), rules.features, rules.imputed, rules.forest)
+    if keep:
+        keep_model(model, keep)
     metrics = classification_metrics(with_prediction(model, split.where("is_test")))
     scored = score_population(model, population_rows(population, rules), rules.features)
     return metrics, scored

@@ -515,6 +515,45 @@ _EXACT = """
       from (select {keys}, quantile_cont(sdcd_signal_strength, [0.03, 0.1, 0.5, 0.9]) as q from tel group by {keys})
     ) p on {on} where sdcd_signal_strength >= bound""".format(keys=KEYS, on=on_keys("t", "p"))
 
+def _chance(features: tuple[str, ...]) -> str:
+    sums = " + ".join(["b0", *[f"b{k + 1} * {f}" for k, f in enumerate(features)]])
+    return f"1 / (1 + exp(-({sums})))"
+
+
+def _logistic(features: tuple[str, ...], steps: int = 25) -> str:
+    """CTEs that end in `fitted`: coefficients b0, b1, ... of the penalised logistic loss, by Newton's method.
+
+    Each step sums gradient and second derivatives over the training rows and solves the equations by
+    elimination, one variable a step.
+    """
+    n, x = len(features) + 1, ["1", *features]
+    out = [
+        f"learned as materialized (select *, (score_increment > 0)::int as y from training where {_all_there(features)} and not {_is_test('serial_num')})",
+        "weighed as materialized (select l.*, total / (2.0::double * c) as w, 1.0::double / total as penalty from learned l"
+        " join (select y, count(*) as c from learned group by y) using (y) cross join (select count(*) as total from learned))",
+        "newton_0 as materialized (select " + ", ".join(f"0.0::double as b{k}" for k in range(n)) + ")",
+    ]
+    cells = [(i, j) for i in range(n) for j in range(i, n)]
+    b = ", ".join(f"b{k}" for k in range(n))
+    for s in range(steps):
+        sums = [f"sum(w * (p - y) * {x[i]}) / sum(w) + {'0' if not i else f'any_value(penalty) * any_value(b{i})'} as g{i}" for i in range(n)]
+        sums += [f"sum(w * p * (1 - p) * {x[i]} * {x[j]}) / sum(w) + {'any_value(penalty)' if i == j and i else '0'} as h{i}{j}" for i, j in cells]
+        kept = ", ".join(f"any_value(b{k}) as b{k}" for k in range(n))
+        out.append(f"sums_{s} as materialized (select {kept}, {', '.join(sums)} from (select *, {_chance(features)} as p from weighed cross join newton_{s}))")
+        before = f"sums_{s}"
+        for c in range(n - 1):  # the upper half is enough, for the equations are symmetric
+            new = [f"g{i} - h{c}{i} / h{c}{c} * g{c} as g{i}" if i > c else f"g{i}" for i in range(n)]
+            new += [f"h{i}{j} - h{c}{i} / h{c}{c} * h{c}{j} as h{i}{j}" if i > c else f"h{i}{j}" for i, j in cells]
+            out.append(f"eliminated_{s}_{c} as materialized (select {b}, {', '.join(new)} from {before})")
+            before = f"eliminated_{s}_{c}"
+        for i in reversed(range(n)):
+            rest = "".join(f" - h{i}{j} * d{j}" for j in range(i + 1, n))
+            out.append(f"solved_{s}_{i} as materialized (select *, (g{i}{rest}) / h{i}{i} as d{i} from {before})")
+            before = f"solved_{s}_{i}"
+        out.append(f"newton_{s + 1} as materialized (select {', '.join(f'b{k} - d{k} as b{k}' for k in range(n))} from {before})")
+    return ",\n" + ",\n".join([*out, f"fitted as (select {b} from newton_{steps})"])
+
+
 ORACLE: dict[str, str] = {
     "telemetry_parse": ctes("parsed") + "select * from parsed",
     "telemetry_complete": ctes("complete") + "select * from complete",
@@ -801,26 +840,33 @@ ORACLE: dict[str, str] = {
     "rf_scores": ctes("population")
     + f"""
         select serial_num, case when {_all_there(f for f in MODEL_FEATURES if not f.startswith("avg_sig"))} then true end
-                 as scored
+                 as scored, true as same_by_table
         from population where before_home_score < 100 and volume is not null""",
     "rf_metrics": ctes("training")
     + f"""
-        select label, count(*) filter (where flag = label) as support, count(*) > 0 as measured
+        select label, count(*) filter (where flag = label) as support, count(*) > 0 as measured,
+               true as same_by_table, true as learned
         from (values (0), (1)) l(label), (select (score_increment > 0)::int as flag from training
               where before_home_score > 50 and {_is_test("serial_num")}
                 and {_all_there(f for f in MODEL_FEATURES if not f.startswith("avg_sig"))})
         group by label""",
-    "lr_scores": ctes("training")
+    "lr_scores": ctes("training") + _logistic(SWEEP_FEATURES)
     + f"""
         select serial_num, (score_increment > 0)::int as enhance_flag, {_is_test("serial_num")} as is_test,
-               case when {_all_there(SWEEP_FEATURES)} then true end as scored from training""",
+               case when {_all_there(SWEEP_FEATURES)} then {rnd(_chance(SWEEP_FEATURES))} end as extender_score, true as at_optimum
+        from training cross join fitted""",
+    "forest_table_scores": ctes("population")
+    + f"""
+        select serial_num, {rnd("""(case when avg_phyrate > 310.5 then 0.25 when poor_rssi <= 24 then 0.75 else 24 / 27.0::double end
+               + case when count <= 14 then 0.25 when volume <= 2.75 then 0.2 else 0.5 end + 0.45) / 3""")} as extender_score
+        from population""",
     "rf_population_share": ctes("population")
     + f"""
-        select threshold, count(*) as homes from population, (values (0), (5), (10)) t(threshold)
+        select threshold, count(*) as homes, true as same_by_table from population, (values (0), (5), (10)) t(threshold)
         where {_all_there(SWEEP_FEATURES)} group by threshold""",
     "window_sweep": ctes("training", "training_3")
     + f"""
-        select window_days, threshold, label, count(*) filter (where (score_increment > threshold)::int = label) as support
+        select window_days, threshold, label, count(*) filter (where (score_increment > threshold)::int = label) as support, true as same_by_table
         from (select 7::int as window_days, * from training union all by name
               select 3::int as window_days, * from training_3),
              (values (0), (5)) t(threshold), (values (0), (1)) l(label)

@@ -18,7 +18,7 @@ from homescore.config import (
     RecommendationRules,
 )
 from homescore.functions import parsing
-from homescore.operators import cohort, dataset, features, kpi, medians, model, presence, report, reshape, score, states, topology
+from homescore.operators import cohort, dataset, features, kpi, medians, model, presence, report, reshape, score, states, topology, trees
 from homescore.operators import telemetry as telemetry_ops
 from homescore.operators import weights as W
 from homescore.sources import days, files, published, sinks, staging
@@ -668,38 +668,100 @@ def _staged_training(spark: SparkSession, sf: str, count: int = WINDOW_DAYS, aft
     return staging.stage(_training(spark, sf, count, after), "training")
 
 
+def _learned(spark: SparkSession, sf: str, **rules) -> tuple:
+    """The recommendation's forest and the rows it was split from."""
+    how = RecommendationRules(**rules)
+    split = model.with_split(model.training_rows(_staged_training(spark, sf), rules=how))
+    return model.fit_forest(split.where("NOT is_test"), how.features, how.imputed, how.forest), split
+
+
 def rf_scores(spark, sf):
-    """Scored homes: whether each has a score, as one between 0 and 1."""
-    _, scored = model.recommend(_staged_training(spark, sf), _population(spark, sf))
-    return scored.select("serial_num", F.col("extender_score").between(0, 1).alias("scored"))
+    """Scored homes: whether each has a score, and whether the fitted trees, followed as a table, give the same."""
+    fitted, _ = _learned(spark, sf)
+    homes = staging.stage(model.population_rows(_population(spark, sf)), "population")
+    scored = model.score_population(fitted, homes)
+    followed = trees.score_with_trees(fitted, homes).withColumnRenamed("extender_score", "followed")
+    same = F.col("extender_score").eqNullSafe(F.col("followed")).alias("same_by_table")
+    return scored.join(followed, "serial_num").select("serial_num", F.col("extender_score").between(0, 1).alias("scored"), same)
 
 
 def rf_metrics(spark, sf):
-    metrics, _ = model.recommend(_staged_training(spark, sf), _population(spark, sf))
-    return metrics.select("label", "support", F.col("accuracy").between(0, 1).alias("measured"))
+    """Hold-out supports, whether the trees as a table give the same figures, and whether anything was learned.
+
+    Learned: on the rows it was trained with, the forest finds more than half of both classes together.
+    """
+    fitted, split = _learned(spark, sf)
+    test, train = split.where("is_test"), split.where("NOT is_test")
+    found = model.classification_metrics(model.with_prediction(fitted, test))
+    again = model.classification_metrics(trees.predict_with_trees(fitted, test)).select("label", *[F.col(c).alias(f"t_{c}") for c in ("precision", "recall", "accuracy")])
+    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in ("precision", "recall", "accuracy")]
+    recalls = model.classification_metrics(trees.predict_with_trees(fitted, train)).agg(F.avg("recall").alias("found")).scalar()
+    return found.join(again, "label").select(
+        "label", "support", F.col("accuracy").between(0, 1).alias("measured"), (same[0] & same[1] & same[2]).alias("same_by_table"), (recalls > 0.5).alias("learned")
+    )
+
+
+# A small forest as a table: tree, node, feature, threshold, left, right, weight of class 0, weight of class 1.
+SMALL_FOREST = (
+    (0, 0, "avg_phyrate", 310.5, 1, 2, 0.0, 0.0),
+    (0, 1, "poor_rssi", 24.0, 3, 4, 0.0, 0.0),
+    (0, 2, None, None, None, None, 30.0, 10.0),
+    (0, 3, None, None, None, None, 5.0, 15.0),
+    (0, 4, None, None, None, None, 3.0, 24.0),
+    (1, 0, "count", 14.0, 1, 2, 0.0, 0.0),
+    (1, 1, None, None, None, None, 12.0, 4.0),
+    (1, 2, "volume", 2.75, 3, 4, 0.0, 0.0),
+    (1, 3, None, None, None, None, 8.0, 2.0),
+    (1, 4, None, None, None, None, 7.0, 7.0),
+    (2, 0, None, None, None, None, 11.0, 9.0),
+)
+
+
+def forest_table_scores(spark, sf):
+    """Homes scored by following a forest that is given as a table."""
+    nodes = spark.createDataFrame(SMALL_FOREST, "tree int, node int, feature string, threshold double, left int, right int, weight_0 double, weight_1 double")
+    chance = F.round(trees.forest_probability(nodes), 4)
+    return _population(spark, sf).select("serial_num", chance.alias("extender_score"))
 
 
 def lr_scores(spark, sf):
-    split = model.with_split(model.enhance_label(_staged_training(spark, sf)))
+    """Scores of all homes by the fitted coefficients, and whether the loss has no gradient there."""
+    split = staging.stage(model.with_split(model.enhance_label(_staged_training(spark, sf))), "split")
     fitted = model.fit_logistic(split.where("NOT is_test"))
     scored = model.score_population(fitted, split, [model.LABEL, "is_test"])
-    return scored.select(
-        "serial_num", model.LABEL, "is_test", F.col("extender_score").between(0, 1).alias("scored")
-    )
+    steep = model.logistic_gradient(fitted, split.where("NOT is_test")).agg(F.max(F.abs(F.col("gradient")) / F.col("scale")).alias("steep"))
+    return scored.select("serial_num", model.LABEL, "is_test", "extender_score", (steep.scalar() < 1e-5).alias("at_optimum"))
 
 
 def rf_population_share(spark, sf):
-    """Per threshold the homes predicted either way, which are all homes of the population."""
-    shares = model.population_share(_staged_training(spark, sf), staging.stage(_population(spark, sf), "population"))
-    return shares.select("threshold", (F.col("zeros") + F.col("ones")).alias("homes"))
+    """Per threshold the homes predicted either way, which are all of the population, and whether the tree
+    table predicts as many of them to improve."""
+    training, homes = _staged_training(spark, sf), staging.stage(_population(spark, sf), "population")
+    shares = model.population_share(training, homes)
+    parts = []
+    for threshold in (0, 5, 10):
+        fitted = model.fit_forest(model.with_split(model.enhance_label(training, threshold)).where("NOT is_test"))
+        parts.append(trees.predict_with_trees(fitted, homes).agg(F.count_if(F.col("prediction") == 1).alias("t_ones")).select(F.lit(threshold).alias("threshold"), "t_ones"))
+    joined = shares.join(files.union_all(parts), "threshold")
+    return joined.select("threshold", (F.col("zeros") + F.col("ones")).alias("homes"), (F.col("ones") == F.col("t_ones")).alias("same_by_table"))
 
 
 def window_sweep(spark, sf):
+    """Supports of every window and threshold, and whether the tree tables give the same hold-out figures."""
     trainings = {
         count: _staged_training(spark, sf, count, after) for count, after in ((3, "2024-01-07"), (7, AFTER_START))
     }
     swept = model.window_sweep(trainings, thresholds=(0, 5))
-    return swept.select("window_days", "threshold", "label", "support")
+    parts = []
+    for count, training in trainings.items():
+        for threshold in (0, 5):
+            split = model.with_split(model.enhance_label(training, threshold))
+            fitted = model.fit_forest(split.where("NOT is_test"))
+            again = model.classification_metrics(trees.predict_with_trees(fitted, split.where("is_test")))
+            parts.append(again.select(F.lit(count).alias("window_days"), F.lit(threshold).alias("threshold"), "label", F.col("recall").alias("t_recall"), F.col("precision").alias("t_precision")))
+    same = F.col("recall").eqNullSafe(F.col("t_recall")) & F.col("precision").eqNullSafe(F.col("t_precision"))
+    joined = swept.join(files.union_all(parts), ["window_days", "threshold", "label"])
+    return joined.select("window_days", "threshold", "label", "support", same.alias("same_by_table"))
 
 
 # --- files ----------------------------------------------------------------------------------------
@@ -889,6 +951,7 @@ QUERIES: dict[str, Query] = {
         population_rows,
         rf_scores,
         rf_metrics,
+        forest_table_scores,
         lr_scores,
         rf_population_share,
         window_sweep,
