@@ -46,3 +46,30 @@ def attach_topology(df: DataFrame, groups: DataFrame) -> DataFrame:
         .withColumn("Rou_Ext", F.when(F.col("parent_mac").isNotNull(), 1).otherwise(0))
         .drop("dg_rowkey")
     )
+
+
+def attach_identity_as_of(df: DataFrame, mapping: DataFrame, status: str | None = INSTALLED, how: str = "left") -> DataFrame:
+    """Rows of many days, each with the subscribers that its own day's snapshot names.
+
+    `df` has `date`; `mapping` is a mapping of several days with the day it serves as `as_of`
+    (`days.as_of`).
+    """
+    kept = mapping if status is None else mapping.where(F.col("status") == status)
+    identity = kept.select(
+        F.col("as_of").alias("date"), F.col("serialnumber").alias("serial_num"), F.col("mdn_5g").alias("mdn"), "cust_id"
+    ).distinct()
+    return df.join(identity, ["date", "serial_num"], how)
+
+
+def attach_topology_as_of(df: DataFrame, groups: DataFrame, root: str = GROUP_ROOT) -> DataFrame:
+    """`attach_topology` for rows of many days, each with its own day's group records (with `as_of`)."""
+    members = groups.select("as_of", F.col("rowkey").alias("dg_rowkey"), F.inline(root))
+    latest = members.groupBy("as_of", "dg_rowkey", F.col("mac").alias("RouExt_mac"), F.col("model").alias("dg_model")).agg(
+        F.max("parent_mac").alias("parent_mac"), F.max("fw").alias("firmware")
+    )
+    match = (F.col("as_of") == F.col("date")) & (F.col("dg_rowkey") == F.col("rk_row_sn")) & (F.col("RouExt_mac") == F.col("parent_id"))
+    return (
+        df.join(latest, match, "left")
+        .withColumn("Rou_Ext", F.when(F.col("parent_mac").isNotNull(), 1).otherwise(0))
+        .drop("dg_rowkey", "as_of")
+    )

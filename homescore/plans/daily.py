@@ -70,7 +70,7 @@ def score_day(
     mapped_on = D.latest_day(mapping, delivered, identity_back, 1)
     grouped_on = D.latest_day(groups, delivered, groups_back)
     located = score.located_devices_c(
-        device_kpis(telemetry(history, complete=True)),
+        stage(device_kpis(telemetry(history, complete=True)), "device-kpis"),
         device_groups(groups.where(F.col("date") == F.lit(grouped_on))),
         subscriber_identity(mapping.where(F.col("date") == F.lit(mapped_on))),
     )

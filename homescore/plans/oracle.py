@@ -180,6 +180,15 @@ def _in_days(start: str, count: int) -> str:
     return f"date between date '{start}' and date '{start}' + {count - 1}"
 
 
+#: Subscriber maps of some days.
+_SNAPSHOTS = "select distinct date, serial_num, cust_id from device_days where day(date) in (2, 3, 6, 11, 14)"
+
+#: Events with the reason why their line cannot be used.
+_ODD = """
+    select ts::date::varchar as day, case when event_id % 11 = 0 or event_id % 13 = 0 then 'malformed'
+           when event_id % 17 = 0 then 'no user_id' when event_id % 19 = 0 then 'too large' end as odd from events"""
+
+
 def _starts(first: str, count: int = 10) -> str:
     return f"(select date '{first}' + i::int as start from range({count}) s(i))"
 
@@ -922,7 +931,38 @@ ORACLE: dict[str, str] = {
         select date::varchar as date, event_type, count(*) as count, case when date > date '2024-01-02' then count(*) end as n
         from ev where date between date '2024-01-02' and date '2024-01-04' and (date <> date '2024-01-03' or event_type = 'click')
         group by date, event_type""",
+    "snapshots_as_of": ctes("device_days")
+    + f"""
+        , s as ({_SNAPSHOTS}), n as (select start as as_of, max(date) as date from s, {_starts("2024-01-05", 9)}
+              where date between start - 4 and start - 1 group by start)
+        select as_of::varchar as as_of, date::varchar as date, count(*) as homes from n join s using (date) group by all""",
+    "identity_as_of": ctes("device_days", "home_days")
+    + f"""
+        , s as ({_SNAPSHOTS}), n as (select start as as_of, max(date) as date from s, {_starts("2024-01-05", 9)}
+              where date between start - 4 and start - 1 group by start),
+        i as (select n.as_of, serial_num, serial_num || '@' || s.date as mdn, cust_id from n join s using (date)
+              where substr(serial_num, 2)::int % 5 > 0)
+        select h.date::varchar as date, h.serial_num, h.dg_model_indiv, i.mdn, i.cust_id
+        from home_days h left join i on i.as_of = h.date and i.serial_num = h.serial_num where {_in_days("2024-01-05", 9)}""",
+    "topology_as_of": ctes("ev")
+    + f"""
+        , s as (select *, 'H' || user_id as home from ev where day(date) in (2, 3, 6, 11, 14)),
+        n as (select start as as_of, max(date) as date from s, {_starts("2024-01-05", 9)}
+              where date between start - 4 and start - 1 group by start),
+        g as (select as_of, home, event_type, 'm' || day(date) as dg_model, max(case when event_id % 2 = 0 then 'G' end) as parent_mac,
+                     max('fw' || event_id % 9) as firmware from n join s using (date) group by all),
+        r as (select distinct date, 'H' || user_id as home, event_type from ev where {_in_days("2024-01-05", 9)})
+        select r.date::varchar as date, r.home as rk_row_sn, r.event_type as parent_id, g.event_type as RouExt_mac, g.dg_model,
+               g.parent_mac, g.firmware, (g.parent_mac is not null)::int as Rou_Ext
+        from r left join g on g.as_of = r.date and g.home = r.home and g.event_type = r.event_type""",
+    "bad_json_lines": f"""
+        with e as ({_ODD})
+        select day, 'good' as reason, count(*) as count from e where odd is null group by day union all
+        select null, odd, count(*) from e where odd is not null group by odd""",
+    "bad_csv_lines": f"""
+        select coalesce(odd, 'good') as reason, count(*) as count from ({_ODD}) group by 1""",
 }
 
+ORACLE["training_set_bucketed"] = ORACLE["training_set"]
 # The same rows from daily states.
 ORACLE |= {f"{name}_states": ORACLE[name] for name in ("agg_device_window", "agg_home_window", "router_population")}

@@ -21,7 +21,8 @@ from homescore.functions import parsing
 from homescore.operators import cohort, dataset, features, kpi, medians, model, presence, report, reshape, score, states, topology, trees
 from homescore.operators import telemetry as telemetry_ops
 from homescore.operators import weights as W
-from homescore.sources import days, files, published, sinks, staging
+from homescore.schemas import GROUP_ROOT
+from homescore.sources import bucketed, days, files, published, sinks, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -289,7 +290,8 @@ def _scores_b(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scores_c(spark: SparkSession, sf: str) -> DataFrame:
-    kpis = kpi.device_kpis(_parsed(spark, sf, True))
+    # parents and figures are two readings of the device table, so it is written once
+    kpis = staging.stage(kpi.device_kpis(_parsed(spark, sf, True)), "device-kpis")
     located = score.located_devices_c(kpis, _groups(spark, sf), _identity(spark, sf))
     return score.device_scores_c(staging.stage(located, "located-devices"))
 
@@ -368,6 +370,41 @@ def snapshot_fallback(spark, sf):
     return tidy(days.snapshot_or_fallback(_event_days(spark, sf), "2024-02-15", "2024-01-05"))
 
 
+def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Subscriber maps of some days: a home that was seen on such a day has a number that names the day."""
+    seen = A.device_days(spark, sf).where(F.dayofmonth("date").isin(2, 3, 6, 11, 14)).select("date", "serial_num", "cust_id").distinct()
+    return seen.select(
+        "date", F.col("serial_num").alias("serialnumber"), F.concat_ws("@", "serial_num", F.col("date").cast("string")).alias("mdn_5g"), "cust_id",
+        F.when(F.substring("serial_num", 2, 9).cast("int") % 5 > 0, topology.INSTALLED).otherwise("PENDING").alias("status"),
+    )
+
+
+def snapshots_as_of(spark, sf):
+    """The newest snapshot, one to four days old, of each of nine days, from one scan."""
+    rows = days.as_of(_snapshots(spark, sf), days.day_list("2024-01-05", 9), 4, 1)
+    return tidy(rows.groupBy("as_of", "date").agg(F.count("*").alias("homes")))
+
+
+def identity_as_of(spark, sf):
+    """Homes of nine days with the subscriber that each day's own newest snapshot names."""
+    wanted = days.day_list("2024-01-05", 9)
+    homes = days.window_of_days(A.home_days(spark, sf), wanted[0], 9).select("date", "serial_num", "dg_model_indiv")
+    return tidy(topology.attach_identity_as_of(homes, days.as_of(_snapshots(spark, sf), wanted, 4, 1)))
+
+
+def topology_as_of(spark, sf):
+    """Device parents of nine days, each placed by the group records of its own day's newest snapshot."""
+    wanted, kind = days.day_list("2024-01-05", 9), F.col("event_type")
+    events = _event_days(spark, sf)
+    rows = events.select("date", F.concat(F.lit("H"), F.col("user_id").cast("string")).alias("rk_row_sn"), kind.alias("parent_id")).distinct()
+    member = F.struct(
+        kind.alias("mac"), F.concat(F.lit("m"), F.dayofmonth("date").cast("string")).alias("model"),
+        F.when(F.col("event_id") % 2 == 0, F.lit("G")).alias("parent_mac"), F.concat(F.lit("fw"), (F.col("event_id") % 9).cast("string")).alias("fw"),
+    )
+    groups = events.where(F.dayofmonth("date").isin(2, 3, 6, 11, 14)).select("date", F.concat(F.lit("H"), F.col("user_id").cast("string")).alias("rowkey"), F.array(member).alias(GROUP_ROOT))
+    return tidy(topology.attach_topology_as_of(days.window_of_days(rows, wanted[0], 9), days.as_of(groups, wanted, 4, 1).drop("date")))
+
+
 def read_days_skip(spark, sf):
     return tidy(days.window_of_days(_event_days(spark, sf), "2024-01-28", 7))
 
@@ -525,6 +562,17 @@ def training_set(spark, sf):
     )
 
 
+def training_set_bucketed(spark, sf):
+    """`training_set` on tables stored in buckets of homes."""
+    name = staging.new_path(spark, "b").rsplit("/", 1)[1].replace("-", "_")
+    tables = [
+        bucketed.write_bucketed(rows, f"{name}_{kind}", staging.new_path(spark, kind), 8)
+        for kind, rows in (("devices", A.device_days(spark, sf)), ("homes", A.home_days(spark, sf)))
+    ]
+    members = staging.stage(cohort.rolling_cohort(tables[0], COHORT_INSTALL, COHORT_DAYS), "cohort")
+    return tidy(dataset.before_after_set(*tables, members, "2024-01-07", "2024-01-13", COHORT_DAYS))
+
+
 def install_list(spark, sf):
     rows = dataset.install_set(
         A.device_days(spark, sf),
@@ -782,6 +830,45 @@ def csv_roundtrip(spark, sf):
     return tidy(files.read_csv(spark, path, recursive=True).withColumn("p_retailprice", F.col("p_retailprice").cast("double")))
 
 
+_EVENT = T.StructType(
+    [T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("day", T.StringType()), T.StructField("value", T.DoubleType())]
+)
+
+
+def _event_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in the shape of the file formats, with odd ones among them marked by `odd`."""
+    k = F.col("event_id")
+    odd = F.when(k % 11 == 0, "cut").when(k % 13 == 0, "typed").when(k % 17 == 0, "nameless").when(k % 19 == 0, "far")
+    return _event_days(spark, sf).select(
+        "event_id", F.when(odd.eqNullSafe("nameless"), None).otherwise(F.col("user_id")).alias("user_id"), F.col("date").cast("string").alias("day"),
+        F.when(odd.eqNullSafe("far"), 1e9).otherwise(F.col("event_id") / 4).alias("value"), odd.alias("odd"),
+    )
+
+
+def bad_json_lines(spark, sf):
+    """JSON with broken lines, values of the wrong type, missing ids and values out of range: counts by day and reason."""
+    whole = F.to_json(F.struct("event_id", "user_id", "day", "value"))
+    line = F.when(F.col("odd") == "cut", F.expr("substring(line, 1, length(line) - 6)")).when(F.col("odd") == "typed", F.replace("line", F.lit('"event_id":'), F.lit('"event_id":"x"')))
+    path = staging.new_path(spark, "lines")
+    _event_lines(spark, sf).select(whole.alias("line"), "odd").select(F.coalesce(line, "line").alias("value")).write.text(path)
+    marked = files.read_marked(spark, path, _EVENT, "json", ("user_id",), {"too large": F.col("value") > 1e8})
+    good = files.set_aside(staging.stage(marked, "marked"), staging.new_path(spark, "aside"))
+    aside = files.reason_counts(marked).where("reason <> 'good'").select(F.lit(None).cast("string").alias("day"), "reason", "count")
+    return good.groupBy("day").agg(F.count("*").alias("count")).select("day", F.lit("good").alias("reason"), "count").union(aside)
+
+
+def bad_csv_lines(spark, sf):
+    """CSV with missing fields and values of the wrong type: counts by reason."""
+    value = F.when(F.col("odd") == "typed", "much").otherwise(F.col("value").cast("string"))
+    fields = F.concat_ws(",", "event_id", F.coalesce(F.col("user_id").cast("string"), F.lit("")), "day", value)
+    short = F.concat_ws(",", "event_id", "user_id")
+    path = staging.new_path(spark, "lines")
+    _event_lines(spark, sf).select(F.when(F.col("odd") == "cut", short).otherwise(fields).alias("value")).write.text(path)
+    # lines without a header: the schema names the fields
+    marked = files.read_marked(spark, path, _EVENT, "csv", ("user_id",), {"too large": F.col("value") > 1e8}, header=False)
+    return files.reason_counts(marked)
+
+
 def parquet_overwrite_day(spark, sf):
     """Write all days, write two of them again with other rows, and count what is there."""
     path = staging.new_path(spark, "days")
@@ -902,6 +989,9 @@ QUERIES: dict[str, Query] = {
         rescore_homes,
         home_from_detail,
         latest_snapshot,
+        snapshots_as_of,
+        identity_as_of,
+        topology_as_of,
         snapshot_fallback,
         read_days_skip,
         read_days_strict,
@@ -957,6 +1047,9 @@ QUERIES: dict[str, Query] = {
         window_sweep,
         json_roundtrip,
         csv_roundtrip,
+        bad_json_lines,
+        bad_csv_lines,
+        training_set_bucketed,
         parquet_overwrite_day,
         read_day_folders,
         read_day_files,

@@ -94,6 +94,44 @@ def latest_day(df: DataFrame, day: date | str, max_back: int, min_back: int = 0,
     return newest
 
 
+def newest_for_each(
+    df: DataFrame, targets: Sequence[date | str], max_back: int, min_back: int = 0, column: str = DAY
+) -> dict[date, date]:
+    """For each target day the newest day with data between `max_back` and `min_back` days before it.
+
+    Target days without one are left out. Only days come to the driver.
+    """
+    wanted = sorted(map(as_day, targets))
+    if not wanted:
+        return {}
+    first, last = wanted[0] - timedelta(max_back), wanted[-1] - timedelta(min_back)
+    held = sorted(r[0] for r in df.where(in_days(first, (last - first).days + 1, column)).select(column).distinct().collect())
+    chosen = {}
+    for day in wanted:
+        fitting = [d for d in held if day - timedelta(max_back) <= d <= day - timedelta(min_back)]
+        if fitting:
+            chosen[day] = fitting[-1]
+    return chosen
+
+
+def as_of(
+    df: DataFrame, targets: Sequence[date | str], max_back: int, min_back: int = 0, column: str = DAY, out: str = "as_of"
+) -> DataFrame:
+    """The newest snapshot of each of many target days, in one scan: its rows with the target day as `out`.
+
+    A snapshot that serves several days gives its rows for each of them; the scan is pruned to the
+    snapshots that serve any. A target day without a snapshot in its look-back range has no rows.
+    """
+    chosen = newest_for_each(df, targets, max_back, min_back, column)
+    served: dict[date, list[date]] = {}
+    for day, snapshot in chosen.items():
+        served.setdefault(snapshot, []).append(day)
+    if not served:
+        return df.select("*", F.lit(None).cast("date").alias(out)).where("false")
+    days_of = F.coalesce(*[F.when(F.col(column) == F.lit(snapshot), F.array(*map(F.lit, days))) for snapshot, days in served.items()])
+    return df.where(F.col(column).isin([F.lit(d) for d in served])).select("*", F.explode(days_of).alias(out))
+
+
 def snapshot_or_fallback(
     df: DataFrame, day: date | str, fallback: date | str, column: str = DAY
 ) -> DataFrame:
@@ -121,7 +159,7 @@ def existing_paths(spark: SparkSession, pattern: str, names: Sequence[str]) -> l
     """Of the paths that the names give in `pattern` ('.../{}/...'), those with files, from one listing."""
     paths = [pattern.format(name) for name in names]
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern.format("*")).select("path")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern.format("{" + ",".join(names) + "}")).select("path")
         file = path_of(F.col("path"))
         which = F.coalesce(*[F.when(under(file, p), F.lit(p)) for p in paths])
         found = {row[0] for row in files.select(which.alias("found")).where("found is not null").distinct().collect()}

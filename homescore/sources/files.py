@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from homescore.sources.days import day_list, existing_paths, path_of, under
 
 
+_LINE = "__line"
+
+
 def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None, recursive: bool = False) -> DataFrame:
     return _reader(spark, schema, recursive).parquet(path)
 
@@ -31,6 +34,44 @@ def _reader(spark: SparkSession, schema: StructType | None, recursive: bool):
     return reader.option("recursiveFileLookup", True) if recursive else reader
 
 
+def read_marked(
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    fmt: str = "json",
+    required: Sequence[str] = (),
+    checks: Mapping[str, Column] | None = None,
+    recursive: bool = False,
+    header: bool = True,
+) -> DataFrame:
+    """Rows of JSON or CSV files with `reason`: why a row cannot be used, null for good rows; and `line`.
+
+    The first reason that holds is given: "malformed" for a line that does not parse under `schema`, or
+    has a value of another type or another number of fields; "no <column>" for a required column without
+    a value; then the names of `checks` whose condition holds. `line` is the text of a malformed line.
+    Nothing is dropped and no line stops the read.
+    """
+    whole = StructType([*schema.fields, StructField(_LINE, StringType())])
+    # whole lines are parsed, whatever columns a query needs: reasons must not depend on the query
+    reader = _reader(spark, whole, recursive).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _LINE).option("columnPruning", False)
+    rows = reader.format(fmt).option("header", header).load(path)
+    arms = [(F.col(_LINE).isNotNull(), "malformed"), *[(F.col(c).isNull(), f"no {c}") for c in required]]
+    arms += [(F.coalesce(condition, F.lit(False)), name) for name, condition in (checks or {}).items()]
+    reason = F.coalesce(*[F.when(condition, F.lit(name)) for condition, name in arms])
+    return rows.withColumn("reason", reason).withColumnRenamed(_LINE, "line")
+
+
+def set_aside(marked: DataFrame, path: str) -> DataFrame:
+    """Store the bad rows of `read_marked` under `path`, by reason, and return the good ones."""
+    marked.where("reason is not null").write.mode("overwrite").partitionBy("reason").parquet(path)
+    return marked.where("reason is null").drop("reason", "line")
+
+
+def reason_counts(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows for each reason ("good" where there is none), and for each value of `by`."""
+    return marked.groupBy(*by, F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count("*").alias("count"))
+
+
 def read_day_folders(
     spark: SparkSession,
     pattern: str,
