@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,12 +93,14 @@ class SecretScanner:
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """All spans by start, then kind. A random string inside a base span is not listed again."""
         text = text or ""
-        base = base_spans(text)
-        found = base + [
-            ("random", *m.span())
-            for m in _CANDIDATE.finditer(text)
-            if self.is_random(m[0]) and not any(s <= m.start() and m.end() <= e for _, s, e in base)
-        ]
+        base = sorted(base_spans(text), key=lambda x: x[1])
+        starts, reach = [s for _, s, _ in base], list(accumulate((e for _, _, e in base), max))
+
+        def inside(start: int, end: int) -> bool:  # of the base spans that begin before, one ends after
+            k = bisect_right(starts, start)
+            return k > 0 and reach[k - 1] >= end
+
+        found = base + [("random", *m.span()) for m in _CANDIDATE.finditer(text) if not inside(*m.span()) and self.is_random(m[0])]
         return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
