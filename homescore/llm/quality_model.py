@@ -122,9 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, how: Training = Training(), *, id_co
 
 def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
     found, at = features(texts, len(model.weight))
-    total = np.concatenate([[0.0], np.cumsum(model.weight[found])])
     size = np.diff(at)
-    odds = (total[at[1:]] - total[at[:-1]]) / np.maximum(size, 1) + model.bias
+    # each text is summed by itself, so its score does not depend on the others of its batch
+    total, some = np.zeros(len(texts)), np.flatnonzero(size)
+    if len(some):
+        total[some] = np.add.reduceat(model.weight[found], at[some])
+    odds = total / np.maximum(size, 1) + model.bias
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
