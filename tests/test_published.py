@@ -4,7 +4,6 @@ from dataclasses import asdict
 from datetime import date, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from homescore.operators import states
 from homescore.plans import daily
