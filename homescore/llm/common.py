@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -31,6 +31,19 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """k1 and k2, 128 bits that tell rows of other ids or texts apart; rows that repeat both share them."""
+    given = [doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), text.isNull(), F.coalesce(text, F.lit(""))]
+    return [F.xxhash64(*given).alias("k1"), F.xxhash64(F.lit(23), *given).alias("k2")]
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, longer where a column is called so already."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir.
 

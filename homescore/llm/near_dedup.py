@@ -18,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homescore.llm.common import discard, mix, span_hashes, stage, table, window_hashes, word_spans
+from homescore.llm.common import discard, mix, row_key, span_hashes, stage, table, window_hashes, word_spans
 from homescore.llm.components import components
 
 _BATCH_BYTES = 1_000_000
+#: Which member of a component stands for it: the smallest id, a null one last, then the smallest key.
+_ORDER = "named_struct('no_id', doc_id is null, 'id', coalesce(doc_id, 0), 'k1', k1, 'k2', k2)"
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 
@@ -97,7 +99,7 @@ def _slices(texts: list[str | None]) -> Iterator[slice]:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     doc_id, text = docs[id_col].cast("long"), docs[text_col].cast("string")
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(-1)).alias("k1"), F.hash(text).alias("k2"))
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), *row_key(doc_id, text))
 
 
 def _signed_rows(keyed: DataFrame, how: Forest) -> DataFrame:
@@ -116,7 +118,7 @@ def _signed_rows(keyed: DataFrame, how: Forest) -> DataFrame:
                 made = [sizes, _sums(mix(hashes), at), _sums(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), at)]
                 yield pa.RecordBatch.from_arrays([*given, *[pa.array(x) for x in made], pa.array(signed, pa.binary())], names=names)
 
-    return keyed.mapInArrow(run, "doc_id long, k1 long, k2 int, n long, h1 long, h2 long, signature binary")
+    return keyed.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, h1 long, h2 long, signature binary")
 
 
 def _neighbours(rows: DataFrame, how: Forest) -> DataFrame:
@@ -238,7 +240,8 @@ def _sharing(sets: DataFrame, crowd: DataFrame, how: Forest) -> DataFrame:
     """
     p = how.percent
     each = sets.join(crowd, "node").select("node", "component", F.explode("shingles").alias("shingle"))
-    held = each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    # a shingle that one component alone holds leads to no pair, be its members ever so many
+    held = each.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").drop("low", "high")
     one = F.struct(F.coalesce("held", F.lit(1)).alias("held"), "shingle")
     ranked = each.join(held, "shingle", "left").groupBy("node", "component").agg(F.sort_array(F.collect_list(one)).alias("row"))
     sized = stage(ranked.select("node", "component", F.size("row").cast("long").alias("n"), "row"), "ranked")
@@ -296,38 +299,49 @@ def _links(keyed: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, how: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; also the row's key (k1, k2).
+    """doc_id, n_shingles, component_id and kept of every row; also the row's key (k1, k2) and `first`.
 
     Documents link where 100 * |A and B| >= percent * |A or B|; component_id is the smallest doc_id
     that links lead to. A text of fewer words than a shingle is one shingle; texts without words link
-    with nothing, each its own component. Rows with equal sets link, be they repeated rows or not. A
-    null doc_id is smaller than none. An empty table gives no rows. Sets and classes compare by hashes
-    of 64 bits a shingle and 128 bits a set.
+    with nothing, each its own component. Rows with equal sets link, be they repeated rows or not. A null
+    doc_id comes after all others: a component has a null id only if no member has another, and all its
+    members are then `kept`. `first` marks the member that stands for its component: the one with the
+    smallest doc_id, of several such one text's rows. An empty table gives no rows. Sets and classes
+    compare by hashes of 64 bits a shingle and 128 bits a set, rows by 128 bits of id and text. Only the
+    named columns are read.
     """
     keyed = _keyed(docs, id_col, text_col)
     signed = stage(_signed_rows(keyed, how), "signed")
     grouped = signed.where("n > 0").groupBy("h1", "h2").agg(
-        F.min(F.struct("k1", "k2")).alias("at"), F.first("signature").alias("signature"), F.min("doc_id").alias("least")
+        F.min(F.struct("k1", "k2")).alias("at"), F.first("signature").alias("signature"), F.min(F.expr(_ORDER)).alias("least")
     )
     classes = stage(grouped.select("h1", "h2", "at.*", "signature", "least", F.monotonically_increasing_id().alias("node")), "classes")
     found = stage(components(_links(keyed, classes, how)), "components")
     placed = classes.select("h1", "h2", "least", "node").join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("h1", "h2", "component_id")
-    one = F.coalesce("component_id", "doc_id")
-    return signed.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), *[F.when(F.col("n") > 0, F.col(h)).alias(h) for h in ("h1", "h2")]).join(named, ["h1", "h2"], "left").select(
-        "doc_id", "n_shingles", one.alias("component_id"), F.col("doc_id").eqNullSafe(one).alias("kept"), "k1", "k2"
+    least = placed.groupBy("root").agg(F.min("least").alias("least_of_all"))
+    named = placed.join(least, "root").select("h1", "h2", "least_of_all")
+    rows = signed.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.expr(_ORDER).alias("order"), *[F.when(F.col("n") > 0, F.col(h)).alias(h) for h in ("h1", "h2")])
+    wordless = F.col("least_of_all").isNull()
+    one = F.when(wordless, F.col("doc_id")).otherwise(F.when(~F.col("least_of_all.no_id"), F.col("least_of_all.id")))
+    return rows.join(named, ["h1", "h2"], "left").select(
+        "doc_id", "n_shingles", one.alias("component_id"), F.col("doc_id").eqNullSafe(one).alias("kept"), "k1", "k2",
+        (wordless | (F.col("order") == F.col("least_of_all"))).alias("first"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
-    """`docs` with one document of each component."""
-    gone = near_duplicates(docs, how).where("not kept").select("k1", "k2")
-    key = {"__k1": F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)), "__k2": F.hash(docs["text"].cast("string"))}
-    marked = docs.withColumns(key)
-    return marked.join(gone, (marked["__k1"] == gone["k1"]) & (marked["__k2"] == gone["k2"]), "left_anti").select(*docs.columns)
+    """`docs` with one row of each component: that of the smallest doc_id, a null one last; of rows that repeat
+    both id and text, one. Rows without words all stay. Columns stay as they are, whatever they are called;
+    an empty table stays empty."""
+    found = stage(near_duplicates(docs, how).select("k1", "k2", "n_shingles", "first"), "found")
+    given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("given"), *row_key(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    left = given.join(found.where("not first").select("k1", "k2"), ["k1", "k2"], "left_anti")
+    again = found.where("first and n_shingles > 0").groupBy("k1", "k2").agg(F.count("*").alias("times")).where("times > 1").select("k1", "k2")
+    if again.limit(1).count():
+        left = left.join(again, ["k1", "k2"], "left_anti").union(left.join(again, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return left.select("given.*")
 
 
 def op2_lsh_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("k1", "k2")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("k1", "k2", "first")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homescore.llm.common import discard, mix, powers, span_hashes, stage, table, window_hashes, word_spans
+from homescore.llm.common import discard, free_name, mix, powers, row_key, span_hashes, stage, table, window_hashes, word_spans
 
 WINDOW = 35
 SEED = 8
@@ -35,9 +35,9 @@ _KEY = ["k1", "k2"]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, and a key under which rows of one id but different texts stay apart."""
+    """doc_id, text, and a key that only rows which repeat both share."""
     doc_id, text = docs[id_col].cast("long"), docs[text_col].cast("string")
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(-1)).alias("k1"), F.hash(text).alias("k2"))
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), *row_key(doc_id, text))
 
 
 def least_of_windows(values: np.ndarray, size: int) -> np.ndarray:
@@ -104,7 +104,7 @@ def reference_blocks(keyed: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "b1", "b2", "k1", "k2", "s", "n"])
                 at = end
 
-    return keyed.select("text", "k1", "k2").mapInArrow(run, "seed long, b1 long, b2 long, k1 long, k2 int, s int, n int")
+    return keyed.select("text", "k1", "k2").mapInArrow(run, "seed long, b1 long, b2 long, k1 long, k2 long, s int, n int")
 
 
 def _boundary_windows(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -202,7 +202,7 @@ def _covered(blocks: list[dict], n_words: int, window: int) -> np.ndarray:
 def with_blocks(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and the repeated blocks of every row (null: none)."""
     keyed = _keyed(docs, id_col, text_col)
-    found = repeated_blocks(keyed, window).groupBy(*_KEY).agg(F.collect_list(F.struct("s", "bits", "source")).alias("blocks"))
+    found = repeated_blocks(keyed, window).groupBy(*_KEY).agg(F.collect_set(F.struct("s", "bits", "source")).alias("blocks"))
     return keyed.join(found, _KEY, "left").select("doc_id", "text", "blocks")
 
 
@@ -235,13 +235,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`docs` without the repeated words of `text`; kept words joined by one space, untouched texts as they were.
 
-    A column `n_chars`, if there is one, follows the text.
+    A column `n_chars`, if there is one, follows the text. A null text stays null, a text without words as
+    it is; rows that repeat are judged alike, each counts as a place; an empty table stays empty. Columns
+    stay as they are, whatever they are called.
     """
     keyed = _keyed(docs, "doc_id", "text")
-    found = repeated_blocks(keyed, window).groupBy(*_KEY).agg(F.collect_list(F.struct("s", "bits")).alias("__blocks"))
-    text = docs["text"].cast("string")
-    marked = docs.withColumns({"__k1": F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)), "__k2": F.hash(text)})
-    both = marked.join(found, (marked["__k1"] == found["k1"]) & (marked["__k2"] == found["k2"]), "left").select(*docs.columns, "__blocks")
+    # rows that repeat id and text find the same blocks: once is enough for all of them
+    found = repeated_blocks(keyed, window).groupBy(*_KEY).agg(F.collect_set(F.struct("s", "bits")).alias("blocks"))
+    given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("given"), *row_key(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    both = given.join(found, _KEY, "left").select("given.*", F.col("blocks").alias(free_name("blocks", docs.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
