@@ -3,8 +3,9 @@
 A document's set is that of its five-word shingles. Equal sets are one class from the start. Every
 class stands in `TREES` sorted orders, each by a signature of `DEPTH` minima of its own. Neighbours in
 an order share the longest prefixes there are, so how deep two documents must agree adapts to how
-crowded their region is. Candidates of all orders are confirmed on the full sets. Regions that hold
-more classes than an order looks at are finished by an exact join on rare shingles.
+crowded their region is: in a sparse one all meet, in a crowded one each meets the nearest of another
+component. Candidates of all orders are confirmed on the full sets. Crowded regions are finished by an
+exact join on rare shingles.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ _UPPER[65:91] += 32
 @dataclass(frozen=True)
 class Forest:
     """Share of the union in percent that links; orders, minima in each, agreeing ones a candidate needs,
-    and neighbours looked at on either side, which leave out members of the same component. Where more
-    classes than these agree, all of them are joined on their shingles."""
+    and neighbours that all meet each other in a region. Where more classes than these agree, each first
+    meets its nearest of another component, then all of them are joined on their shingles."""
 
     percent: int = 85
     shingle: int = 5
@@ -121,12 +122,14 @@ def _signed_rows(keyed: DataFrame, how: Forest) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, h1 long, h2 long, signature binary")
 
 
-def _neighbours(rows: DataFrame, how: Forest) -> DataFrame:
-    """Pairs of nodes near each other in an order and of different components.
+def _neighbours(rows: DataFrame, how: Forest, tried: DataFrame | None = None) -> DataFrame:
+    """Pairs of nodes near each other in an order and of different components, without those tried; written.
 
     `rows`: tree, key, node, component. The orders are one total order, dealt out by range, so a
-    crowded region is dealt out too. Each row meets the `reach` rows before it that agree in the
-    first `least` minima and are not of its component; the ends of every part meet across parts.
+    crowded region is dealt out too. Rows of a region agree in the first `least` minima. The first
+    `reach` + 1 rows of a region all meet, so those of a region that has no more have met each other;
+    each row after them meets the nearest before it of another component. The ends of every part meet
+    across parts.
     """
     need, reach, word = how.least * 4, how.reach, "tree int, key binary, node long, component long"
 
@@ -134,13 +137,15 @@ def _neighbours(rows: DataFrame, how: Forest) -> DataFrame:
         return [(min(row[2], o[2]), max(row[2], o[2])) for o in before if o[0] == row[0] and o[1][:need] == row[1][:need] and o[3] != row[3]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, head, seen = TaskContext.get().partitionId(), [], [], 0
+        part, before, head, seen, place = TaskContext.get().partitionId(), [], [], 0, 0
         for batch in batches:
             pairs = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if before and (before[-1][0] != row[0] or before[-1][1][:need] != row[1][:need]):
                     before.clear()
-                pairs += met(row, before)
+                    place = 0
+                pairs += met(row, before) if place <= reach else met(row, before)[-1:]
+                place += 1
                 # of a run of one component the latest is enough, the others are linked with it already
                 if before and before[-1][3] == row[3]:
                     before.pop()
@@ -170,7 +175,10 @@ def _neighbours(rows: DataFrame, how: Forest) -> DataFrame:
 
     # at most 2 * reach rows a part, whatever the corpus
     edges = found.where("part is not null").select("part", "tail", "tree", "key", "node", "component").repartition(1).mapInArrow(across, "a long, b long")
-    return found.where("part is null").select("a", "b").union(edges).distinct()
+    near = found.where("part is null").select("a", "b").union(edges).distinct()
+    pairs = stage(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(found)
+    return pairs
 
 
 def _pairs_batch(pairs: list[tuple], part: int | None, ends: list[tuple] | None) -> pa.RecordBatch:
@@ -219,16 +227,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, how: Forest) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _crowded(orders: DataFrame, found: DataFrame, how: Forest) -> DataFrame:
-    """node and component of the classes that, in some order, agree with more others than are looked at.
+def _regions(rows: DataFrame, how: Forest) -> DataFrame:
+    return rows.withColumn("region", F.expr(f"substring(key, 1, {4 * how.least})"))
 
-    Of fewer, every class has met every other in the first round; those all of one component need no link.
-    """
-    region = F.expr(f"substring(key, 1, {4 * how.least})")
-    rows = orders.join(found, "node").select("tree", region.alias("region"), "node", "component")
-    sizes = rows.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    full = sizes.where((F.col("n") > how.reach + 1) & (F.col("low") < F.col("high"))).select("tree", "region")
-    return rows.join(full, ["tree", "region"]).select("node", "component").distinct()
+
+def _dense(orders: DataFrame, how: Forest) -> DataFrame:
+    """Rows of `orders` in regions of more classes than all meet."""
+    rows = _regions(orders, how)
+    full = rows.groupBy("tree", "region").agg(F.count("*").alias("n")).where(F.col("n") > how.reach + 1)
+    return rows.join(full.select("tree", "region"), ["tree", "region"]).select("tree", "key", "node")
+
+
+def _crowd(dense: DataFrame, found: DataFrame, how: Forest) -> DataFrame:
+    """node and component of the classes in dense regions; those all of one component need no link."""
+    rows = _regions(dense, how).join(found, "node").select("tree", "region", "node", "component")
+    sides = rows.groupBy("tree", "region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.join(sides.where("low < high").select("tree", "region"), ["tree", "region"]).select("node", "component").distinct()
 
 
 def _sharing(sets: DataFrame, crowd: DataFrame, how: Forest) -> DataFrame:
@@ -259,42 +273,41 @@ def _sharing(sets: DataFrame, crowd: DataFrame, how: Forest) -> DataFrame:
 def _links(keyed: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
     """Confirmed links between classes, enough to join all that agree in the first minima of an order.
 
-    The first round takes the nearest neighbours of every class. Where a region is so crowded that a
-    class's neighbours are all of its own component by now, the next round looks past them to the
-    nearest of other components, until a round confirms nothing. What such rounds pass over, as where
-    the nearest are many and do not link, an exact join within the crowded regions finds.
+    The first round takes the neighbours of every class, all there are where a region is sparse. Later
+    rounds go on with dense regions alone: each class meets the nearest that is not of its component by
+    now, while such rounds still join a hundredth of these classes. They save the last step work: an
+    exact join within the dense regions finds every link that is left.
     """
     width = 4 * how.depth
     key = F.expr(f"substring(signature, tree * {width} + 1, {width})")
     trees = classes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(how.trees - 1))).alias("tree"))
     orders = trees.select("tree", key.alias("key"), "node")
-    first = True
-    tried = links = found = met = sets = None
-    while True:
-        rows = orders.withColumn("component", F.col("node")) if first else orders.join(found, "node")
-        near = _neighbours(rows, how)
-        pairs = stage(near if first else near.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if first:
-            # A class that no other came near in any order has a region of its own in all of them, so
-            # later rounds go on with the others, whose sets are read once.
-            ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-            met = stage(ends.distinct(), "ends")
-            wanted = classes.select("k1", "k2", "node").join(met, "node")
-            sets = stage(_sets(keyed, wanted, how).dropDuplicates(["node"]), "sets")
-        new = stage(_confirmed(pairs, sets, how), "links")
-        links = new if first else links.union(new)
-        tried = pairs if first else tried.union(pairs)
-        if new.isEmpty():
-            break
-        joined = met.join(components(links), "node", "left")
+    tried = _neighbours(orders.withColumn("component", F.col("node")), how)
+    # A class that no other came near in any order has a region of its own in all of them; the sets of
+    # the others are read once.
+    ends = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node")))
+    met = stage(ends.distinct(), "ends")
+    sets = stage(_sets(keyed, classes.select("k1", "k2", "node").join(met, "node"), how).dropDuplicates(["node"]), "sets")
+    new = links = stage(_confirmed(tried, sets, how), "links")
+    dense = stage(_dense(orders.join(met, "node"), how), "dense")
+    nodes = stage(dense.select("node").distinct(), "dense-nodes")
+    worth = nodes.count() / 100
+    found = nodes.withColumn("component", F.col("node"))
+    while worth:
+        joined = nodes.join(components(links), "node", "left")
         found = stage(joined.select("node", F.coalesce("component", "node").alias("component")), "found")
-        first = False
-    placed = met.withColumn("component", F.col("node")) if found is None else found
-    crowd = stage(_crowded(orders, placed, how), "crowd")
-    if not crowd.isEmpty():
-        rest = stage(_sharing(sets, crowd, how).join(tried, ["a", "b"], "left_anti"), "rest")
-        links = links.union(stage(_confirmed(rest, sets, how), "links"))
-    discard(sets, crowd)
+        if new.count() < worth:
+            break
+        pairs = _neighbours(dense.join(found, "node"), how, tried)
+        new = stage(_confirmed(pairs, sets, how), "links")
+        links, tried = links.union(new), tried.union(pairs)
+    if worth:
+        crowd = stage(_crowd(dense, found, how), "crowd")
+        if not crowd.isEmpty():
+            rest = stage(_sharing(sets, crowd, how).join(tried, ["a", "b"], "left_anti"), "rest")
+            links = links.union(stage(_confirmed(rest, sets, how), "links"))
+        discard(crowd)
+    discard(sets, dense)
     return links
 
 
