@@ -3,8 +3,8 @@
 A document's set is that of its five-word shingles. Equal sets are one class from the start. Every
 class stands in `TREES` sorted orders, each by a signature of `DEPTH` minima of its own. Neighbours in
 an order share the longest prefixes there are, so how deep two documents must agree adapts to how
-crowded their region is: in a sparse one all meet, in a crowded one each meets the nearest of another
-component. Candidates of all orders are confirmed on the full sets. Crowded regions are finished by an
+crowded their region is: in a sparse one all meet, in a crowded one each meets its nearest.
+Candidates of all orders are confirmed on the full sets. Crowded regions are finished by an
 exact join on rare shingles.
 """
 
@@ -33,7 +33,7 @@ _UPPER[65:91] += 32
 class Forest:
     """Share of the union in percent that links; orders, minima in each, agreeing ones a candidate needs,
     and neighbours that all meet each other in a region. Where more classes than these agree, each first
-    meets its nearest of another component, then all of them are joined on their shingles."""
+    meets its nearest, then those of different components are joined on their shingles."""
 
     percent: int = 85
     shingle: int = 5
@@ -122,19 +122,18 @@ def _signed_rows(keyed: DataFrame, how: Forest) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, h1 long, h2 long, signature binary")
 
 
-def _neighbours(rows: DataFrame, how: Forest, tried: DataFrame | None = None) -> DataFrame:
-    """Pairs of nodes near each other in an order and of different components, without those tried; written.
+def _neighbours(rows: DataFrame, how: Forest) -> DataFrame:
+    """Pairs of nodes near each other in an order; written.
 
-    `rows`: tree, key, node, component. The orders are one total order, dealt out by range, so a
+    `rows`: tree, key, node. The orders are one total order, dealt out by range, so a
     crowded region is dealt out too. Rows of a region agree in the first `least` minima. The first
     `reach` + 1 rows of a region all meet, so those of a region that has no more have met each other;
-    each row after them meets the nearest before it of another component. The ends of every part meet
-    across parts.
+    each row after them meets the nearest before it. The ends of every part meet across parts.
     """
-    need, reach, word = how.least * 4, how.reach, "tree int, key binary, node long, component long"
+    need, reach, word = how.least * 4, how.reach, "tree int, key binary, node long"
 
     def met(row: tuple, before: list[tuple]) -> list[tuple]:
-        return [(min(row[2], o[2]), max(row[2], o[2])) for o in before if o[0] == row[0] and o[1][:need] == row[1][:need] and o[3] != row[3]]
+        return [(min(row[2], o[2]), max(row[2], o[2])) for o in before if o[0] == row[0] and o[1][:need] == row[1][:need] and o[2] != row[2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, head, seen, place = TaskContext.get().partitionId(), [], [], 0, 0
@@ -146,9 +145,6 @@ def _neighbours(rows: DataFrame, how: Forest, tried: DataFrame | None = None) ->
                     place = 0
                 pairs += met(row, before) if place <= reach else met(row, before)[-1:]
                 place += 1
-                # of a run of one component the latest is enough, the others are linked with it already
-                if before and before[-1][3] == row[3]:
-                    before.pop()
                 before.append(row)
                 del before[:-reach]
                 if seen < reach:
@@ -157,7 +153,7 @@ def _neighbours(rows: DataFrame, how: Forest, tried: DataFrame | None = None) ->
             yield _pairs_batch(pairs, None, None)
         yield _pairs_batch([], part, [(0, *r) for r in head] + [(1, *r) for r in before])
 
-    rows = rows.select("tree", "key", "node", "component")
+    rows = rows.select("tree", "key", "node")
     made = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     found = stage(made.mapInArrow(run, f"a long, b long, part int, tail int, {word}"), "near")
 
@@ -165,18 +161,17 @@ def _neighbours(rows: DataFrame, how: Forest, tried: DataFrame | None = None) ->
         rows_ = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         rows_.sort(key=lambda r: (r[2], r[3], r[4], r[0]))
         pairs, before = [], []
-        for tree, part, key, node, tail, component in ((r[2], r[0], r[3], r[4], r[1], r[5]) for r in rows_):
-            row = (tree, key, node, component)
+        for part, tail, *row in rows_:
+            row = tuple(row)
             if not tail:
-                pairs += met(row, [o[:4] for o in before if o[4] != part])
+                pairs += met(row, [o[:3] for o in before if o[3] != part])
             before.append((*row, part))
             del before[: -2 * reach]
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     # at most 2 * reach rows a part, whatever the corpus
-    edges = found.where("part is not null").select("part", "tail", "tree", "key", "node", "component").repartition(1).mapInArrow(across, "a long, b long")
-    near = found.where("part is null").select("a", "b").union(edges).distinct()
-    pairs = stage(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "pairs")
+    edges = found.where("part is not null").select("part", "tail", "tree", "key", "node").repartition(1).mapInArrow(across, "a long, b long")
+    pairs = stage(found.where("part is null").select("a", "b").union(edges).distinct(), "pairs")
     discard(found)
     return pairs
 
@@ -192,9 +187,8 @@ def _pairs_batch(pairs: list[tuple], part: int | None, ends: list[tuple] | None)
         pa.array([None] * n + [e[1] for e in ends], pa.int32()),
         pa.array([None] * n + [e[2] for e in ends], pa.binary()),
         pa.array([None] * n + [e[3] for e in ends], pa.int64()),
-        pa.array([None] * n + [e[4] for e in ends], pa.int64()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "part", "tail", "tree", "key", "node", "component"])
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "part", "tail", "tree", "key", "node"])
 
 
 def _sets(keyed: DataFrame, wanted: DataFrame, how: Forest) -> DataFrame:
@@ -273,40 +267,29 @@ def _sharing(sets: DataFrame, crowd: DataFrame, how: Forest) -> DataFrame:
 def _links(keyed: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
     """Confirmed links between classes, enough to join all that agree in the first minima of an order.
 
-    The first round takes the neighbours of every class, all there are where a region is sparse. Later
-    rounds go on with dense regions alone: each class meets the nearest that is not of its component by
-    now, while such rounds still join a hundredth of these classes. They save the last step work: an
-    exact join within the dense regions finds every link that is left.
+    Every class first meets its neighbours, all there are where a region is sparse. In dense regions the
+    nearest of each order join most that link; an exact join finds every link between the components
+    that are left.
     """
     width = 4 * how.depth
     key = F.expr(f"substring(signature, tree * {width} + 1, {width})")
     trees = classes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(how.trees - 1))).alias("tree"))
     orders = trees.select("tree", key.alias("key"), "node")
-    tried = _neighbours(orders.withColumn("component", F.col("node")), how)
+    tried = _neighbours(orders, how)
     # A class that no other came near in any order has a region of its own in all of them; the sets of
     # the others are read once.
     ends = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node")))
     met = stage(ends.distinct(), "ends")
     sets = stage(_sets(keyed, classes.select("k1", "k2", "node").join(met, "node"), how).dropDuplicates(["node"]), "sets")
-    new = links = stage(_confirmed(tried, sets, how), "links")
+    links = stage(_confirmed(tried, sets, how), "links")
     dense = stage(_dense(orders.join(met, "node"), how), "dense")
-    nodes = stage(dense.select("node").distinct(), "dense-nodes")
-    worth = nodes.count() / 100
-    found = nodes.withColumn("component", F.col("node"))
-    while worth:
-        joined = nodes.join(components(links), "node", "left")
-        found = stage(joined.select("node", F.coalesce("component", "node").alias("component")), "found")
-        if new.count() < worth:
-            break
-        pairs = _neighbours(dense.join(found, "node"), how, tried)
-        new = stage(_confirmed(pairs, sets, how), "links")
-        links, tried = links.union(new), tried.union(pairs)
-    if worth:
-        crowd = stage(_crowd(dense, found, how), "crowd")
-        if not crowd.isEmpty():
-            rest = stage(_sharing(sets, crowd, how).join(tried, ["a", "b"], "left_anti"), "rest")
-            links = links.union(stage(_confirmed(rest, sets, how), "links"))
-        discard(crowd)
+    if not dense.isEmpty():
+        found = stage(components(links), "found")
+        joined = dense.select("node").distinct().join(found, "node", "left")
+        crowd = stage(_crowd(dense, joined.select("node", F.coalesce("component", "node").alias("component")), how), "crowd")
+        rest = stage(_sharing(sets, crowd, how).join(tried, ["a", "b"], "left_anti"), "rest")
+        links = links.union(stage(_confirmed(rest, sets, how), "links"))
+        discard(crowd, found)
     discard(sets, dense)
     return links
 
