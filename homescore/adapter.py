@@ -135,7 +135,10 @@ def station_history(spark: SparkSession, sf_dir: str, fields: Sequence[str] | No
 
 def group_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested group records: each part a home met, as a router or extender, and one unused member."""
-    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    # Moved by part before they are made distinct, so that a part table too large to copy moves no pair again.
+    # The number is named because pairs are short: partitions joined to the usual bytes would hold millions.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").repartition(parts, "l_partkey").distinct()
     part = table(spark, sf_dir, "part")
     gateway = F.concat(F.lit("G"), F.col("l_suppkey").cast("string"))
     member = F.struct(

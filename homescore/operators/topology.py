@@ -11,9 +11,17 @@ INSTALLED = "INSTALL COMPLETE"
 
 
 def device_groups(groups: DataFrame, root: str = GROUP_ROOT) -> DataFrame:
-    """Group members as rows: one per (home key, mac, model) with its latest parent and firmware."""
-    members = groups.select(F.col("rowkey").alias("dg_rowkey"), F.inline(root))
-    return members.groupBy("dg_rowkey", F.col("mac").alias("RouExt_mac"), F.col("model").alias("dg_model")).agg(
+    """Group members as rows: one per (home key, mac, model) with its latest parent and firmware.
+
+    Members move once, by the keys `attach_topology` joins on, so neither the grouping nor the join
+    moves them again. They are not combined before: a greatest text is found by sorting, and the few
+    repeats are not worth a sort of everything a map task read, whose size no shuffle bounds.
+    """
+    members = groups.select(F.col("rowkey").alias("dg_rowkey"), F.inline(root)).select(
+        "dg_rowkey", F.col("mac").alias("RouExt_mac"), F.col("model").alias("dg_model"), "parent_mac", "fw"
+    )
+    placed = members.repartition("dg_rowkey", "RouExt_mac")
+    return placed.groupBy("dg_rowkey", "RouExt_mac", "dg_model").agg(
         F.max("parent_mac").alias("parent_mac"), F.max("fw").alias("firmware")
     )
 
