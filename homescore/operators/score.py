@@ -43,20 +43,24 @@ def score_expr(rules: ScoreRules) -> Column:
 
 
 def device_rollup(df: DataFrame, keys: Sequence[str] = DEVICE_KEYS) -> DataFrame:
-    """One row per device: the sets of routers and extenders it used."""
-    return df.groupBy(*keys).agg(*[F.sort_array(F.collect_set(name)).alias(name) for name in TOPOLOGY_SETS])
+    """One row per device: the sets of routers and extenders it used.
+
+    Rows move by device before their sets are built, as most are in no other set yet: six sets of one
+    member each are longer than the row.
+    """
+    return df.repartition(*keys).groupBy(*keys).agg(*[F.sort_array(F.collect_set(name)).alias(name) for name in TOPOLOGY_SETS])
 
 
-def _located(weighted: DataFrame, groups: DataFrame, identity: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Topology per parent, rolled up per device and joined to the device's row, then identity.
+def _located(weighted: DataFrame, identified: DataFrame, groups: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Topology per parent, rolled up per device and joined to the device's row with its subscribers.
 
     Only keys and parents meet the topology, so a device's figures are neither copied nor averaged back.
-    Identity comes last because it only copies a finished device row to each of its subscribers.
+    Subscribers are found before the sets are joined, so the long rows stay where the sets were built.
     """
     per_parent = weighted.select(*DEVICE_KEYS, F.inline("parents"))
     found = device_rollup(attach_topology(per_parent, groups))
-    devices = weighted.select(*DEVICE_KEYS, *features).join(found, list(DEVICE_KEYS))
-    return attach_identity(devices, identity).select(*DEVICE_GROUP_KEYS, *features, *TOPOLOGY_SETS)
+    devices = identified.select(*DEVICE_GROUP_KEYS, *features)
+    return devices.join(found, list(DEVICE_KEYS)).select(*DEVICE_GROUP_KEYS, *features, *TOPOLOGY_SETS)
 
 
 def kpis_a(telemetry: DataFrame, kpi_rules: KpiRules = KpiRules()) -> DataFrame:
@@ -83,8 +87,11 @@ def device_scores_a(
         .where(F.col("n_rssi") >= kpi_rules.min_readings)
         .select(*DEVICE_PARENT_KEYS, "avg_phyrate", "poor_phyrate", "weights", "poor_rssi")
     )
-    known = attach_identity(weighted, identity, "inner")
-    return attach_topology(known, groups).withColumn("device_score", score_expr(rules))
+    # Identity comes last: behind a filter on extenders only those rows move to their subscriber.
+    located = attach_identity(attach_topology(weighted, groups), identity, "inner")
+    figures = [c for c in weighted.columns if c != "serial_num"]
+    place = ("RouExt_mac", "dg_model", "parent_mac", "firmware", "Rou_Ext")
+    return located.select("serial_num", *figures, "mdn", "cust_id", *place).withColumn("device_score", score_expr(rules))
 
 
 def home_scores_a(devices: DataFrame) -> DataFrame:
@@ -98,6 +105,12 @@ def extender_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col("Rou_Ext") == 1)
 
 
+def kpis_b(telemetry: DataFrame, kpi_rules: KpiRules = KpiRules()) -> DataFrame:
+    """What variant B needs of each device: no volumes, no signal by band."""
+    used = ("n_rssi", "n_phy", "avg_phyrate", "poor_phyrate", "stationarity", "kept", "poor_rssi", "parents")
+    return device_kpis(telemetry, kpi_rules).select(*DEVICE_KEYS, *used)
+
+
 def device_scores_b(
     kpis: DataFrame,
     groups: DataFrame,
@@ -107,7 +120,7 @@ def device_scores_b(
 ) -> DataFrame:
     """Variant B: weights cut for slow stationary devices, two roundings."""
     weighted = W.weights_b(kpis, rules, kpi_rules)
-    return _located(weighted, groups, identity, ROLLUP_B).withColumn("device_score", score_expr(rules))
+    return _located(weighted, attach_identity(weighted, identity), groups, ROLLUP_B).withColumn("device_score", score_expr(rules))
 
 
 def located_devices_c(
@@ -117,20 +130,22 @@ def located_devices_c(
     rules: ScoreRules = SCORE_C,
     kpi_rules: KpiRules = KpiRules(),
 ) -> DataFrame:
-    """Devices of variant C with their place and subscriber, weighted by volume."""
+    """Devices of variant C with their place and subscriber, weighted from traffic volume.
+
+    Weights sum to 1 per subscriber of a home. The first share divides every device of a home by the
+    same total, which the second share cancels, so the second is taken straight from the volumes: over
+    devices with a parent, as others have no place, and before the sets are joined, so long rows do not
+    move. The telemetry must hold complete readings only.
+    """
     scored = kpis.dropna(subset=list(DEVICE_KEYS)).where((F.col("n_rssi") >= kpi_rules.min_readings) & (F.col("n_phy") > 0) & F.col("kept"))
     weighted = scored.withColumn("weights", F.col("volume")).transform(W.penalise_slow, rules)
-    return _located(weighted, groups, identity, ROLLUP_C)
+    placed = weighted.where(F.size("parents") > 0)
+    return _located(placed, W.renormalise(attach_identity(placed, identity)), groups, ROLLUP_C)
 
 
 def device_scores_c(located: DataFrame, rules: ScoreRules = SCORE_C) -> DataFrame:
-    """Variant C: weights from traffic volume, summing to 1 per subscriber of a home.
-
-    The first share divides every device of a home by the same total, which the second share cancels,
-    so the second is taken straight from the volumes. The telemetry behind `located_devices_c` must
-    hold complete readings only.
-    """
-    return W.renormalise(located).withColumn("device_score", score_expr(rules)).select(
+    """Variant C: scores of `located_devices_c`."""
+    return located.withColumn("device_score", score_expr(rules)).select(
         *DEVICE_GROUP_KEYS, *ROLLUP_C, *TOPOLOGY_SETS, "device_score"
     )
 

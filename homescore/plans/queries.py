@@ -285,15 +285,14 @@ def device_score_a_published(spark, sf):
 
 
 def _scores_b(spark: SparkSession, sf: str) -> DataFrame:
-    kpis = staging.stage(kpi.device_kpis(_parsed(spark, sf, False)), "device-kpis")
+    kpis = staging.stage(score.kpis_b(_parsed(spark, sf, False)), "device-kpis")
     return score.device_scores_b(kpis, _groups(spark, sf), _identity(spark, sf))
 
 
 def _scores_c(spark: SparkSession, sf: str) -> DataFrame:
     # parents and figures are two readings of the device table, so it is written once
     kpis = staging.stage(kpi.device_kpis(_parsed(spark, sf, True)), "device-kpis")
-    located = score.located_devices_c(kpis, _groups(spark, sf), _identity(spark, sf))
-    return score.device_scores_c(staging.stage(located, "located-devices"))
+    return score.device_scores_c(score.located_devices_c(kpis, _groups(spark, sf), _identity(spark, sf)))
 
 
 def device_score_a(spark, sf):

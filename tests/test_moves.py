@@ -3,9 +3,10 @@
 import pytest
 
 from homescore import adapter
-from homescore.operators import topology
+from homescore.operators import score, topology
 from homescore.schemas import GROUP_ROOT
 from tests.conftest import plan, rows
+from tests.test_kpi import frame, reading
 
 
 @pytest.fixture
@@ -34,6 +35,12 @@ def records(spark):
     return spark.createDataFrame(data, f"rowkey string, {GROUP_ROOT} array<{member}>")
 
 
+def scored(spark):
+    telemetry = frame(spark, [reading("h1", m, -60 - i % 2, parent=p) for m, p in (("a", "R1"), ("b", "E1")) for i in range(40)])
+    ids = spark.createDataFrame([("h1", "m1", "c1"), ("h1", "m2", "c2")], "serial_num string, mdn string, cust_id string")
+    return telemetry, topology.device_groups(records(spark)), ids
+
+
 def test_groups_are_moved_before_they_are_combined(large):
     text = physical(topology.device_groups(records(large)))
     assert text.count("Exchange") == 1
@@ -66,3 +73,32 @@ def test_group_records_move_pairs_once(large, tmp_path):
     found = adapter.group_records(large, str(tmp_path))
     assert physical(found).count("Exchange") == 2
     assert found.count() == 3
+
+
+@pytest.mark.parametrize("variant", ["b", "c"])
+def test_device_sets_stay_where_they_were_built(large, variant):
+    telemetry, groups, ids = scored(large)
+    if variant == "b":
+        devices = score.device_scores_b(score.kpis_b(telemetry), groups, ids)
+    else:
+        devices = score.device_scores_c(score.located_devices_c(score.device_kpis(telemetry), groups, ids))
+    stored = score.rounded_device_scores(devices)
+    text = physical(stored)
+    assert "Exchange" not in text[: text.index("SortMergeJoin [rowkey")]
+    sets = {line.split("Aggregate(")[1][:60] for line in text.splitlines() if "partial_collect_set(RouExt_mac" in line}
+    after = text[text.index("partial_collect_set(RouExt_mac") :].splitlines()[1:3]
+    assert sets and any("Exchange" in line for line in after)
+    assert stored.count() == 4
+
+
+def test_variant_b_stages_what_it_needs(spark):
+    assert not {"volume", "byte_send", "avg_sig_strength_cat1"} & set(score.kpis_b(scored(spark)[0]).columns)
+
+
+def test_variant_a_finds_subscribers_of_extender_devices_only(large):
+    telemetry, groups, ids = scored(large)
+    devices = score.extender_rows(score.device_scores_a(score.kpis_a(telemetry), groups, ids))
+    text = physical(devices)
+    assert text.index("SortMergeJoin [serial_num") < text.index("SortMergeJoin [rk_row_sn")
+    assert devices.columns[:5] == ["serial_num", "rowkey", "rk_row_sn", "station_mac", "parent_id"]
+    assert rows(devices, "station_mac", "mdn", "dg_model", "firmware") == [("b", "m1", "extender", "3"), ("b", "m2", "extender", "3")]
