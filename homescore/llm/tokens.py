@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _RUN_OF_SPACES = re.compile(r"\s\s")
@@ -19,6 +18,10 @@ _SPACED_PIECE = re.compile(r"\n| ?[^ \n]+| ")
 CACHE_PIECES = 300_000
 
 
+def _bytes_of(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 class WordIds:
     """text -> ids as little-endian unsigned 16-bit integers in bytes.
 
@@ -29,14 +32,14 @@ class WordIds:
     def __init__(self, path: str, spaced: bool, most: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.cache = Tokenizer.from_file(path), spaced, {}
+        self.tokenizer, self.spaced, self.cache = Tokenizer.from_file(path), spaced, {"": b""}
         self.most = most
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need 16 bits")
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, "<u2").tobytes() for x in found]
+        return [_bytes_of(x.ids) for x in found]
 
     def _pieces(self, text: str) -> list[bytes] | list[str] | None:
         """None where the text must be encoded as one."""
@@ -44,7 +47,12 @@ class WordIds:
             return None
         if not self.spaced:
             return text.encode().split()
-        return None if _RUN_OF_SPACES.search(text) else _SPACED_PIECE.findall(text)
+        if _RUN_OF_SPACES.search(text):
+            return None
+        if "\0" in text:
+            return _SPACED_PIECE.findall(text)
+        # the same pieces, and empty ones beside line ends
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -59,7 +67,8 @@ class WordIds:
             pass
         if len(cache) > self.most:
             cache.clear()
-        new = [p for p in set(pieces) if p not in cache]
+            cache[""] = b""
+        new = list(set(pieces).difference(cache))
         cache.update(zip(new, self._encode(new if self.spaced else [str(p, "utf-8") for p in new])))
         return b"".join(map(cache.__getitem__, pieces))
 
