@@ -4,13 +4,14 @@ The transducer is the composition of three parts, compiled from a model file:
 
 * the normaliser: a mark before the text and in place of each space;
 * the lexicon: an arc for every piece, from its characters to its id, weighted by its negative score;
-  a character that no piece covers has an arc to the ids of its bytes, dearer than any piece;
+  a character that is no piece has an arc to the ids of its bytes, taken where no longer piece may be;
 * the grammar: after one piece another may follow if merging their joined characters, best score
   first, gives the two back. Other pairs have infinite weight.
 
 A text is composed with it into a lattice whose states are a place and the piece that ends there; the
 path of least weight (sums along a path, least among paths) is the encoding. Merging is decided by
-neighbours alone, so exactly the model's own segmentation is finite. Runs of marks, whose pieces all
+neighbours alone, so exactly the model's own segmentation is finite: composing goes depth first and stops
+at the first path that ends, without the states that lead nowhere near it. Runs of marks, whose pieces all
 weigh the same, are merged by themselves from the left. No piece crosses from a word to the next mark,
 so words are composed one by one and remembered.
 """
@@ -29,7 +30,6 @@ from homescore.llm.common import id_text, table
 
 MARK = "▁"
 CACHE_WORDS, CACHE_PAIRS = 1_200_000, 1_000_000
-_FALLBACK = 1e6
 
 
 class Transducer:
@@ -96,44 +96,62 @@ class Transducer:
         before[a] = found = self.merged(a + b) == [a, b]
         return found
 
-    def path(self, text: str) -> list[str]:
-        """Pieces of the path of least weight through the lattice of a text."""
-        n, weight, prefixes, pairs = len(text), self.weight, self.prefixes, self.pairs
-        # states of each place: the piece that ends there, the least weight up to it, the state before
-        states: list[list[tuple[str, float, tuple | None]]] = [[] for _ in range(n + 1)]
-        for at in range(n):
-            here = states[at]
-            if at and not here:
-                continue
-            for end in range(at + 1, n + 1):
+    def _arcs(self, text: str, at: int) -> list[str]:
+        """Pieces that begin at a place, the shortest first; a character that no piece covers is one."""
+        weight, prefixes = self.weight, self.prefixes
+        first = text[at : at + 1]
+        found = [first]
+        if first in prefixes:
+            for end in range(at + 2, len(text) + 1):
                 p = text[at:end]
-                if p not in prefixes and end > at + 1:
+                if p not in prefixes:
                     break
-                arc = weight.get(p)
-                if arc is None:
-                    if end > at + 1:
-                        continue
-                    arc = _FALLBACK
-                if at == 0:
-                    states[end].append((p, arc, None))
-                    continue
-                best, known = None, pairs.get(p)
-                if known is None:
-                    known = pairs[p] = {}
-                for state in here:
-                    if best is None or state[1] < best[1]:
-                        ok = known.get(state[0])
-                        if ok or ok is None and self._learn_pair(known, state[0], p):
-                            best = state
-                if best is not None:
-                    states[end].append((p, best[1] + arc, best))
+                if p in weight:
+                    found.append(p)
+        return found
+
+    def path(self, text: str) -> list[str]:
+        """Pieces of the path of least weight through the lattice of a text.
+
+        As one path alone is finite, it is looked for depth first, long pieces first; states that no
+        finite path goes on from are not entered again.
+        """
+        n, pairs = len(text), self.pairs
         if not n:
             return []
-        state, out = min(states[n], key=lambda x: x[1]), []
-        while state is not None:
-            out.append(state[0])
-            state = state[2]
-        return out[::-1]
+        ahead: list[list[str] | None] = [None] * n
+        out, waiting, at, dead = [], [], 0, set()
+        left = self._arcs(text, 0)
+        while True:
+            if left:
+                p = left.pop()
+                end = at + len(p)
+                if out:
+                    known = pairs.get(p)
+                    if known is None:
+                        known = pairs[p] = {}
+                    before = out[-1]
+                    ok = known.get(before)
+                    if not (ok or ok is None and self._learn_pair(known, before, p)):
+                        continue
+                if end == n:
+                    out.append(p)
+                    return out
+                if (end, p) in dead:
+                    continue
+                waiting.append(left)
+                out.append(p)
+                at = end
+                if ahead[at] is None:
+                    ahead[at] = self._arcs(text, at)
+                left = ahead[at].copy()
+            elif out:
+                p = out.pop()
+                dead.add((at, p))
+                at -= len(p)
+                left = waiting.pop()
+            else:
+                raise ValueError("no path is finite")
 
     def _bytes_of(self, pieces: list[str]) -> bytes:
         ids: list[int] = []
