@@ -6,14 +6,30 @@ joined, are those of the text. Each distinct piece is encoded once per worker wh
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+from collections.abc import Iterable, Iterator
+from itertools import chain, compress, repeat
+from operator import is_
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _RUN_OF_SPACES = re.compile(r"\s\s")
 #: Of a text without such runs: a line end, or a word with the space before it.
 _SPACED_PIECE = re.compile(r"\n| ?[^ \n]+| ")
+#: What makes words safe to be cut here: this normaliser and splitting pattern, and words of ASCII but "'" and Latin-1's
+#: letters. Lower case is then all that the normaliser does, and the pattern cuts between letters, digits (each by itself) and others.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile("[ !-&(-~À-ÖØ-öø-ÿ]+")
+_PART = re.compile("[a-zß-öø-ÿ]+|[0-9]| |[^ a-z0-9ß-öø-ÿ]+")
+#: No id of a vocabulary that knows it; its bytes are found only where it was put, since no id has its higher byte.
+_BETWEEN = b"\xff\xff"
+#: Plain words cut at once; bytes of texts looked up at once.
+_JOINED, _TOGETHER = 1000, 1 << 18
 #: Pieces a worker remembers, some 200 bytes each; beyond that it starts anew.
 CACHE_PIECES = 300_000
 
@@ -36,11 +52,73 @@ class WordIds:
         self.most = most
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need 16 bits")
+        self.plain = None if spaced else _plain_tokenizer(path)
+        #: Of parts of plain words, their ids.
+        self.parts = {" ": _BETWEEN}
+        #: Ids that end a part.
+        self.ends = np.zeros(1 << 16, bool)
+        if self.plain:
+            suffix = self.plain.model.end_of_word_suffix
+            self.ends[[i for token, i in self.plain.get_vocab(False).items() if token.endswith(suffix)]] = True
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [_bytes_of(x.ids) for x in found]
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Put words and their ids into the cache; those of plain words come from their parts, of which new ones are encoded as one text."""
+        other = [] if self.plain else words
+        for k in range(0, len(words) if self.plain else 0, _JOINED):
+            some = words[k : k + _JOINED]
+            joined = str(b" ".join(some), "utf-8")
+            if not _PLAIN.fullmatch(joined):
+                fits = list(map(_PLAIN.fullmatch, joined.split(" ")))
+                other += [word for word, fit in zip(some, fits) if not fit]
+                some = list(compress(some, fits))
+                joined = str(b" ".join(some), "utf-8")
+            if some:
+                parts = _PART.findall(joined.lower())
+                new = list(set(parts).difference(self.parts))
+                if new:
+                    ids = np.array(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u2")
+                    stops = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+                    apart = map(ids.tobytes().__getitem__, map(slice, [0, *stops[:-1]], stops))
+                    self.parts.update(zip(new, apart if len(stops) == len(new) else self._encode(new)))
+                self.cache.update(zip(some, b"".join(map(self.parts.__getitem__, parts)).split(_BETWEEN)))
+        self.cache.update(zip(other, self._encode([str(word, "utf-8") for word in other])))
+
+    def all_ids(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """The ids of UTF-8 texts of an unspaced vocabulary, in order; new words of some texts are encoded together."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text or b"")
+            size += len(some[-1])
+            if size >= _TOGETHER:
+                yield from self._together(some)
+                some, size = [], 0
+        yield from self._together(some)
+
+    def _together(self, texts: list[bytes]) -> Iterator[bytes]:
+        cache = self.cache
+        if len(cache) > self.most:
+            cache.clear()
+            self.parts = {" ": _BETWEEN}
+        whole = [b"<|" in text for text in texts]
+        words = [[] if special else text.split() for special, text in zip(whole, texts)]
+        flat = list(chain.from_iterable(words))
+        found = list(map(cache.get, flat))
+        missing = list(compress(range(len(flat)), map(is_, found, repeat(None))))
+        self._learn(list({flat[k] for k in missing}))
+        for k in missing:
+            found[k] = cache[flat[k]]
+        at = 0
+        for text, special, own in zip(texts, whole, words):
+            if special:
+                yield self.ids(str(text, "utf-8"))
+            else:
+                yield b"".join(found[at : at + len(own)])
+                at += len(own)
+
     def _pieces(self, text: str) -> list[bytes] | list[str] | None:
         """None where the text must be encoded as one."""
         if "<|" in text:  # special tokens, which may take white space with them
@@ -73,6 +151,21 @@ class WordIds:
         return b"".join(map(cache.__getitem__, pieces))
 
 
+def _plain_tokenizer(path: str):
+    """The tokenizer without what leaves lower-case plain words as they are; None if it does more than is known here."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    parts = [json.loads(x.__getstate__()) if x else {} for x in (found.normalizer, found.pre_tokenizer)]
+    split = (parts[1].get("pretokenizers") or [{}])[0]
+    known = parts[0].get("normalizers") == _NORMALIZERS and split.get("pattern") == {"Regex": _PATTERN} and split.get("invert")
+    if not known or not getattr(found.model, "end_of_word_suffix", None) or found.get_vocab_size() > 0xFF00:
+        return None
+    found.normalizer = None
+    found.model._resize_cache(0)  # each word comes once
+    return found
+
+
 _KNOWN: dict[tuple[str, bool, int], WordIds] = {}
 
 
