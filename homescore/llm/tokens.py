@@ -11,7 +11,7 @@ import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import chain, compress, repeat
+from itertools import compress, count, repeat
 from operator import is_
 
 import numpy as np
@@ -98,26 +98,29 @@ class WordIds:
                 some, size = [], 0
         yield from self._together(some)
 
-    def _together(self, texts: list[bytes]) -> Iterator[bytes]:
+    def _together(self, texts: list[bytes]) -> list[bytes]:
         cache = self.cache
         if len(cache) > self.most:
             cache.clear()
             self.parts = {" ": _BETWEEN}
-        whole = [b"<|" in text for text in texts]
-        words = [[] if special else text.split() for special, text in zip(whole, texts)]
-        flat = list(chain.from_iterable(words))
-        found = list(map(cache.get, flat))
-        missing = list(compress(range(len(flat)), map(is_, found, repeat(None))))
-        self._learn(list({flat[k] for k in missing}))
-        for k in missing:
-            found[k] = cache[flat[k]]
-        at = 0
-        for text, special, own in zip(texts, whole, words):
-            if special:
-                yield self.ids(str(text, "utf-8"))
-            else:
-                yield b"".join(found[at : at + len(own)])
-                at += len(own)
+        found, partly = [], []
+        for text in texts:
+            if b"<|" in text:
+                found.append(self.ids(str(text, "utf-8")))
+                continue
+            words = text.split()
+            ids = list(map(cache.get, words))
+            unknown = [(k, words[k]) for k in compress(count(), map(is_, ids, repeat(None)))]
+            if unknown:
+                partly.append((len(found), unknown))
+            found.append(ids if unknown else b"".join(ids))
+        self._learn(list({word for _, unknown in partly for _, word in unknown}))
+        for at, unknown in partly:
+            ids = found[at]
+            for k, word in unknown:
+                ids[k] = cache[word]
+            found[at] = b"".join(ids)
+        return found
 
     def _pieces(self, text: str) -> list[bytes] | list[str] | None:
         """None where the text must be encoded as one."""
