@@ -10,50 +10,83 @@ import numpy as np
 LINKS = 16  # a node's links on upper layers; twice as many on the lowest
 BUILD_BEAM = 48
 _TOGETHER = 256
+_EXPAND = 4
+_PAIRS = 1024  # so many products of pairs stay in the processor's cache
+_EMPTY = np.int64(np.iinfo(np.int64).max)
+
+
+def _keys(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Cosine and node in one number, the best least; the last bit is set once the node is expanded."""
+    bits = near.view(np.int32)
+    return (np.invert(bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).astype(np.int64) << 32) | (ids.astype(np.int64) << 1)
+
+
+def _cosines(keys: np.ndarray) -> np.ndarray:
+    bits = np.invert((keys >> 32).astype(np.int32))
+    return (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).view(np.float32)
+
+
+def _products(queries: np.ndarray, row: np.ndarray, vectors: np.ndarray, node: np.ndarray) -> np.ndarray:
+    out = np.empty(len(row), np.float32)
+    for at in range(0, len(row), _PAIRS):
+        part = slice(at, at + _PAIRS)
+        np.einsum("kd,kd->k", queries.take(row[part], axis=0), vectors.take(node[part], axis=0), out=out[part])
+    return out
 
 
 def search_layer(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of every query from its entry node; the `beam` best nodes met and their cosines.
 
-    Rows run from best to worst; -1 fills what was not reached. All queries expand one node a step.
+    Rows run from best to worst; -1 fills what was not reached. All queries expand up to four nodes a step.
     """
-    q, row = len(queries), np.arange(len(queries))
-    seen = np.zeros((q, len(vectors)), bool)
-    seen[row, entries] = True
-    ids = np.full((q, beam), -1)
-    near = np.full((q, beam), -np.inf, np.float32)
-    done = np.ones((q, beam), bool)
-    ids[:, 0], done[:, 0] = entries, False
-    near[:, 0] = np.einsum("qd,qd->q", queries, vectors[entries])
-    active = row
-    while len(active):
-        open_ = np.where(done[active], -np.inf, near[active])
-        pick = open_.argmax(1)
-        go = open_[np.arange(len(active)), pick] > -np.inf
-        active, pick = active[go], pick[go]
-        if not len(active):
-            break
-        done[active, pick] = True
-        around = links[ids[active, pick]]
-        fresh = (around >= 0) & ~seen[active[:, None], around]
-        seen[active[:, None], np.where(fresh, around, ids[active, pick][:, None])] = True
-        cosine = np.where(fresh, np.einsum("qd,qmd->qm", queries[active], vectors[around]), -np.inf).astype(np.float32)
-        all_near = np.concatenate([near[active], cosine], 1)
-        best = np.argpartition(-all_near, beam - 1, 1)[:, :beam]
-        at = np.arange(len(active))[:, None]
-        near[active] = all_near[at, best]
-        ids[active] = np.concatenate([ids[active], around], 1)[at, best]
-        done[active] = np.concatenate([done[active], ~fresh], 1)[at, best]
-    ids[near == -np.inf] = -1
-    order = np.argsort(-near, 1, kind="stable")
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
+    q, bits = len(queries), max(1, (len(vectors) - 1).bit_length())
+    seen = np.zeros(q << bits, bool)
+    seen[(np.arange(q) << bits) | entries] = True
+    keys = np.full((q, beam), _EMPTY)
+    keys[:, 0] = _keys(np.einsum("qd,qd->q", queries, vectors[entries]), entries)
+    active, now, at = np.arange(q), keys.copy(), np.arange(q)
+    while True:
+        open_ = (now & 1) == 0
+        left = open_.any(1)
+        if not left.all():
+            keys[active[~left]] = now[~left]
+            active, now, open_ = active[left], now[left], open_[left]
+            if not len(active):
+                break
+            at[active] = np.arange(len(active))
+        if beam > _EXPAND:
+            open_ &= np.cumsum(open_, 1, dtype=np.int32) <= _EXPAND
+        flat, pick = now.ravel(), np.flatnonzero(open_)
+        around = links.take((flat[pick] & 0xFFFFFFFF) >> 1, axis=0)
+        flat[pick] |= 1
+        place = ((active[pick // beam] << bits)[:, None] | around)[around >= 0]
+        place = place[~seen.take(place)]
+        if not len(place):
+            continue
+        place.sort()
+        place = place[np.concatenate([[True], place[1:] != place[:-1]])]
+        seen[place] = True
+        row, node = place >> bits, place & ((1 << bits) - 1)
+        fresh = _keys(_products(queries, row, vectors, node), node)
+        row = at[row]
+        better = fresh < now[row, -1]
+        row, fresh = row[better], fresh[better]
+        if len(row):
+            count = np.bincount(row, minlength=len(active))
+            both = np.full((len(active), beam + count.max()), _EMPTY)
+            both[:, :beam] = now
+            both[row, beam + np.arange(len(row)) - (np.cumsum(count) - count)[row]] = fresh
+            both.sort(1)
+            now = np.ascontiguousarray(both[:, :beam])
+    ids = np.where(keys == _EMPTY, -1, (keys & 0xFFFFFFFF) >> 1)
+    return ids, np.where(ids < 0, np.float32(-np.inf), _cosines(keys))
 
 
 def choose(vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
     """Links of each node among its candidates (best first): those nearer to it than to any chosen, then the nearest."""
     n, c = ids.shape
     found = vectors[ids]
-    among = np.einsum("nad,nbd->nab", found, found)
+    among = found @ found.transpose(0, 2, 1)
     good = (ids >= 0) & (ids != own[:, None])
     chosen = np.zeros((n, c), bool)
     for k in range(c):
@@ -112,7 +145,7 @@ class Graph:
         sizes = [len(vectors)]
         while sizes[-1] > LINKS:
             sizes.append(-(-sizes[-1] // LINKS))
-        graph = cls(vectors, [np.full((n, LINKS * (2 if k == 0 else 1)), -1) for k, n in enumerate(sizes)])
+        graph = cls(vectors, [np.full((n, LINKS * (2 if k == 0 else 1)), -1, np.int32) for k, n in enumerate(sizes)])
         at = 1
         while at < len(vectors):
             new = np.arange(at, min(len(vectors), at + max(1, min(_TOGETHER, at // 2))))
@@ -137,12 +170,14 @@ class Graph:
             entries = search_layer(self.vectors[: len(links)], links, queries, entries, 1)[0][:, 0]
         return search_layer(self.vectors, self.layers[0], queries, entries, min(beam, len(self.vectors)))
 
-    def to_bytes(self) -> bytes:
+    def to_bytes(self, with_vectors: bool = True) -> bytes:
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, **{f"layer{k}": x.astype(np.int32) for k, x in enumerate(self.layers)})
+        np.savez(out, **({"vectors": self.vectors} if with_vectors else {}), **{f"layer{k}": x for k, x in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Graph:
+    def from_bytes(cls, data: bytes, vectors: np.ndarray | None = None) -> Graph:
+        """`vectors`: those of the graph, if its bytes are without."""
         held = np.load(io.BytesIO(data))
-        return cls(held["vectors"], [held[f"layer{k}"].astype(np.int64) for k in range(len(held.files) - 1)])
+        layers = [held[f"layer{k}"] for k in range(sum(name.startswith("layer") for name in held.files))]
+        return cls(held["vectors"] if vectors is None else np.ascontiguousarray(vectors, np.float32), layers)
